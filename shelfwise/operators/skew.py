@@ -30,9 +30,12 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, sprea
     Rows of ``many`` go to one of the key's parts by ``spread``; rows of ``few``
     are repeated once per part.  ``hot`` is a (key, parts) table.
     """
+    spark = many.sparkSession
     parts = hot.select(key, "parts")
     left = with_parts(many, key, parts).withColumn("_salt", F.pmod(spread, F.col("parts")).cast("int"))
     right = with_parts(few, key, parts).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
-    return left.drop("parts").join(right.drop("parts"), [key, "_salt"]).drop("_salt")
+    # Every row of ``few`` meets many rows, so the tasks are kept apart.
+    sides = [side.drop("parts").repartition(settings.wide(spark), key, "_salt") for side in (left, right)]
+    return sides[0].join(sides[1], [key, "_salt"]).drop("_salt")

@@ -8,7 +8,7 @@ MIN_ITEMS = 30
 SEED = 42
 K = 10
 
-# Named steps; every query lists the steps it needs by using their names.
+# Named steps; a query gets the steps whose names it reads.
 _STEPS = {
     "interactions": """
         SELECT CAST(o_custkey AS VARCHAR) AS "personId", CAST(l_partkey AS VARCHAR) AS "contentId",
@@ -79,12 +79,12 @@ _STEPS = {
         WHERE a.result <> 0 AND b.result <> 0
         GROUP BY 1, 2
         HAVING min(a.result) < max(a.result) AND min(b.result) < max(b.result)""",
-    "both": """
+    "links": """
         SELECT u AS "personId", v AS neighbour, sim FROM alike
         UNION ALL SELECT v, u, sim FROM alike""",
     "cf": """
         SELECT b."personId", t."contentId", sum(t.result) AS score
-        FROM both b JOIN train t ON t."personId" = b.neighbour
+        FROM links b JOIN train t ON t."personId" = b.neighbour
         WHERE b.sim > 0 GROUP BY 1, 2""",
     "cf_unseen": """
         SELECT c.* FROM cf c WHERE NOT EXISTS (SELECT 1 FROM train t
@@ -182,7 +182,7 @@ _ALL_BUT = f"""
         FROM (SELECT u."personId", p."contentId", p.score - coalesce(m.minus, 0) AS score
               FROM users u CROSS JOIN popular p
               LEFT JOIN (SELECT b."personId", t."contentId", sum(t.result) AS minus
-                         FROM both b JOIN train t ON t."personId" = b.neighbour
+                         FROM links b JOIN train t ON t."personId" = b.neighbour
                          WHERE b.sim <= -0.5 GROUP BY 1, 2) m
                 ON m."personId" = u."personId" AND m."contentId" = p."contentId"
               LEFT JOIN train t ON t."personId" = u."personId" AND t."contentId" = p."contentId"
@@ -197,7 +197,7 @@ _FILLED = f"""
                                   p."contentId") AS "rank"
         FROM users u CROSS JOIN popular p
         LEFT JOIN (SELECT b."personId", t."contentId", sum(t.result) AS score
-                   FROM both b JOIN train t ON t."personId" = b.neighbour
+                   FROM links b JOIN train t ON t."personId" = b.neighbour
                    WHERE b.sim > 0.9999 GROUP BY 1, 2) c
           ON c."personId" = u."personId" AND c."contentId" = p."contentId"
         LEFT JOIN train t ON t."personId" = u."personId" AND t."contentId" = p."contentId"
@@ -269,7 +269,7 @@ _BODIES = {
                 FROM popular_recs r JOIN test t ON t."personId" = r."personId" AND t."contentId" = r."contentId")
               GROUP BY 1) h ON h."personId" = n."personId" """,
     "user_similarity": "SELECT * FROM alike",
-    "cf_neighbours": "SELECT * FROM both WHERE sim > 0",
+    "cf_neighbours": "SELECT * FROM links WHERE sim > 0",
     "cf_scores": "SELECT * FROM cf",
     "cf_topk": "SELECT * FROM cf_recs",
     "cf_topk_with_seen": f"""
@@ -281,7 +281,7 @@ _BODIES = {
     "cf_topk_fill_popular": _FILLED,
     "hit_rate_cf": _hit_rate("cf_recs"),
     "factor_topk": f"""
-        SELECT "personId", CAST("rank" AS INTEGER) AS "rank", "contentId", round(score, 6) AS score
+        SELECT "personId", CAST("rank" AS INTEGER) AS "rank", "contentId", round(round(score, 9), 6) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY "personId"
                         ORDER BY round(score, 9) DESC, "contentId") AS "rank"
               FROM (SELECT CAST(a.vec_id AS VARCHAR) AS "personId", CAST(b.vec_id AS VARCHAR) AS "contentId",

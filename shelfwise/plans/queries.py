@@ -64,7 +64,7 @@ def _train(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_lineage(neighbours.user_similarity(_train(spark, folder), collapsed=True))
+    return neighbours.fit_neighbours(_train(spark, folder), collapsed=True)
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def recs_wide(spark, folder):
 
 def hits_per_user(spark, folder):
     train, test = _parts(spark, folder)
-    found = evaluation.hits_per_user(popularity_topk(spark, folder), train, test, K)
+    found = evaluation.hits_per_user(popularity_topk(spark, folder), train, test, K, [popularity.NAME])
     return found.withColumn("score", F.round("score", 9))
 
 

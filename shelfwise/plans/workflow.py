@@ -69,7 +69,7 @@ def recommend_with(model: str, train: DataFrame, items: DataFrame, config: Confi
     if model == popularity.NAME:
         return popularity.recommend_popular(popularity.fit_popularity(train), train, k)
     if model == neighbours.NAME:
-        edges = cut_lineage(neighbours.user_similarity(train, collapsed=True))
+        edges = neighbours.fit_neighbours(train, collapsed=True)
         return neighbours.cf_topk(edges, train, k, config.alpha, collapsed=True)
     if model == svd.NAME:
         fitted = svd.fit_svd(train, config.svd_rank, collapsed=True, seed=config.seed)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one key (a user, an item) that a single task may sort or hold.
 HOT_KEY_ROWS = 1_000_000
@@ -45,12 +45,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def wide(spark: SparkSession) -> int:
+    """Partitions for a stage whose work is far larger than its input.
+
+    Such a stage names its partition number, or small input would be merged into
+    few tasks.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Checkpoint ``df`` in the shared folder, so that a lost executor re-reads it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, spread: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    A lost executor then costs a read, not a recomputation, and the planner knows
+    the size of the table.  ``spread`` is for tables whose rows fan out later: one
+    that came out in fewer files than there are cores is dealt out evenly.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
