@@ -1,0 +1,159 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from helpers import brute_topk, dense, lists, random_ratings, rows
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from shelfwise.models import content, fm, svd
+from shelfwise.operators.sampling import negative_pairs
+
+
+def low_rank(users, items, rank, seed):
+    rng = np.random.default_rng(seed)
+    matrix = rng.standard_normal((users, rank)) @ rng.standard_normal((rank, items))
+    return [(f"u{u:03d}", f"i{i:03d}", float(matrix[u, i])) for u in range(users) for i in range(items)]
+
+
+def rebuild(model, train, items):
+    """Rank-k rows by the model's factors, as a dense matrix."""
+    found = {r["contentId"]: r["factors"] for r in model.factors.collect()}
+    factors = np.array([found[i] for i in items])
+    return factors @ factors.T
+
+
+@pytest.mark.parametrize("method", ["gram", "block", "table"])
+@pytest.mark.parametrize("shape", [(30, 20), (20, 30)])
+def test_svd_equals_the_dense_rebuild(ratings, method, shape):
+    data = low_rank(*shape, 5, 0)
+    _, items, matrix = dense(data)
+    train = ratings(data)
+    model = svd.fit_svd(train, 3, method=method, tol=1e-9, max_passes=200)
+    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    want = (u[:, :3] * s[:3]) @ vt[:3]
+    assert model.converged and model.method == method
+    assert np.allclose(model.singular_values, s[:3], atol=1e-6)
+    assert np.allclose(matrix @ rebuild(model, train, items), want, atol=1e-6 if method == "table" else 1e-8)
+
+
+@pytest.mark.parametrize("block_bytes", [None, 64])
+def test_svd_lists(ratings, block_bytes):
+    data = random_ratings(6, 25, 18, 0.4)
+    users, items, matrix = dense(data)
+    train = ratings(data)
+    model = svd.fit_svd(train, 4)
+    found = lists(svd.recommend_svd(model, train, 5, block_bytes=block_bytes))
+    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    scores = (u[:, :4] * s[:4]) @ vt[:4]
+    for n, user in enumerate(users):
+        unseen = {item: scores[n, i] for i, item in enumerate(items) if not matrix[n, i]}
+        assert found[user] == [item for item, _ in brute_topk(unseen, 5)]
+
+
+def test_svd_rank_is_checked_and_may_exceed_the_matrix(ratings):
+    train = ratings(random_ratings(6, 6, 5, 0.6))
+    with pytest.raises(ValueError):
+        svd.fit_svd(train, 0)
+    assert len(svd.fit_svd(train, 50).singular_values) == 5
+
+
+def test_block_solver_on_a_sparse_matrix_needs_many_passes(ratings):
+    data = random_ratings(9, 150, 120, 0.1)
+    _, _, matrix = dense(data)
+    model = svd.fit_svd(ratings(data), 10, method="block", tol=1e-7, max_passes=100)
+    assert model.converged
+    assert np.allclose(model.singular_values, np.linalg.svd(matrix)[1][:10], atol=1e-5)
+
+
+def test_unconverged_svd_warns(ratings):
+    with pytest.warns(UserWarning):
+        svd.fit_svd(ratings(random_ratings(9, 60, 50, 0.2)), 4, method="table", tol=1e-12, max_passes=2)
+
+
+@pytest.mark.parametrize("n, exclude", [(7, False), (150, True), (299, False), (300, False), (500, True)])
+def test_negative_pairs_are_distinct_and_repeatable(spark, ratings, n, exclude):
+    data = random_ratings(2, 20, 15, 0.3)
+    train = ratings(data)
+    users, items = train.select("personId").distinct(), train.select("contentId").distinct()
+    positives = {(u, i) for u, i, _ in data}
+    size = users.count() * items.count() - (len(positives) if exclude else 0)
+    found = rows(negative_pairs(users, items, n, 1, train if exclude else None))
+    assert len(set(found)) == len(found) == min(n, size)
+    assert not (exclude and positives & set(found))
+    again = rows(negative_pairs(users.repartition(3), items.repartition(5), n, 1, train if exclude else None))
+    assert found == again
+    if n < 100:
+        assert found != rows(negative_pairs(users, items, n, 2))
+
+
+def test_no_negative_pairs_left(ratings):
+    train = ratings([("u", "a", 1.0)])
+    users, items = train.select("personId"), train.select("contentId")
+    assert negative_pairs(users, items, 5, 1, train).count() == 0
+
+
+def item_table(spark, prices):
+    data = [(item, 1.0, price, 3, 1.0) for item, price in prices.items()]
+    return spark.createDataFrame(data, "contentId string, asset double, price double, category_no bigint, category_flag double")
+
+
+def test_content_prefers_the_planted_feature(spark, ratings):
+    prices = {f"i{n:02d}": n / 40 for n in range(40)}
+    liked = [i for i, p in prices.items() if p >= 0.5]
+    rng = np.random.default_rng(0)
+    train = ratings([(f"u{u}", i, 1.0) for u in range(30) for i in rng.choice(liked, 6, replace=False)] + [("u0", "i00", 1.0)])
+    items = item_table(spark, prices)
+    users = train.select("personId").distinct()
+    negatives = negative_pairs(users, items.select("contentId"), 600, 3)
+    model = content.fit_content(train, negatives, items, trees=5, depth=3)
+    for user, found in lists(content.recommend_content(model, items, train, 5)).items():
+        assert set(found) <= set(liked), user
+    value = content.fit_content(train, negatives, items, target="value", trees=5, depth=3)
+    assert content.recommend_content(value, items, train, 5).count() == 150
+
+
+def test_content_examples_count_equal_rows(spark, ratings):
+    items = item_table(spark, {"a": 0.1}).unionByName(item_table(spark, {"a": 0.1}).withColumn("category_no", F.lit(9).cast("bigint")))
+    train = ratings([("u", "a", 2.0), ("v", "a", 3.0), ("v", "b", 1.0)])
+    negatives = ratings([("u", "b", 1.0)]).drop("result")
+    plain = content.content_train(train, negatives, items)
+    assert plain.count() == 6 and plain.where("label = 0").count() == 1
+    weighted = content.weighted_examples(train, negatives, items, "seen")
+    assert weighted.agg(F.sum("weight")).first()[0] == 6
+    counted = {(r["contentId"], r["category_no"]): r["n_users"] for r in content.content_candidates(train, items).collect()}
+    assert counted == {("a", 3): 0, ("a", 9): 0}
+
+
+def test_fm_closed_form(ratings):
+    data = random_ratings(4, 12, 9, 0.5)
+    rows_ = fm.labelled_pairs(ratings(data), ratings([("u000", "i000", 0.0)]).drop("result"))
+    model = fm.fit_fm(rows_, 3, 5, solver="fm")
+    users = {r["personId"]: np.array(r["factors"]) for r in model.users.collect()}
+    items = {r["contentId"]: np.array(r["factors"]) for r in model.items.collect()}
+    numbered_users, _ = fm._numbered(rows_, "personId", "user_no")
+    numbered_items, _ = fm._numbered(rows_, "contentId", "item_no")
+    for row in model.learned.transform(fm.encode(rows_, numbered_users, numbered_items)).collect():
+        assert row["prediction"] == pytest.approx(users[row["personId"]] @ items[row["contentId"]], abs=1e-9)
+
+
+@pytest.mark.parametrize("solver", ["fm", "als"])
+def test_fm_learns_planted_blocks(ratings, solver):
+    data = [(f"u{u:02d}", f"i{i:02d}", 5.0) for u in range(20) for i in range(20) if u % 2 == i % 2]
+    train = ratings(data)
+    rows_ = fm.fm_train(train, 150, exclude_positives=True)
+    model = fm.fit_fm(rows_, 4, 100 if solver == "fm" else 15, solver=solver)
+    found = lists(fm.recommend_fm(model, train, 2, exclude_seen=False))
+    right = sum(int(u[1:]) % 2 == int(i[1:]) % 2 for u, picked in found.items() for i in picked)
+    assert len(found) == 20 and right >= 32
+    seen = {(u, i) for u, i, _ in data}
+    free = lists(fm.recommend_fm(model, train, 3))
+    assert len(free) == 20 and not any((u, i) in seen for u, picked in free.items() for i in picked)
+
+
+def test_fm_arguments(ratings):
+    rows_ = fm.labelled_pairs(ratings([("u", "a", 1.0)]), ratings([("u", "a", 0.0)]).drop("result"))
+    with pytest.raises(ValueError):
+        fm.fit_fm(rows_, 0)
+    with pytest.raises(ValueError):
+        fm.fit_fm(rows_, 2, solver="sgd")
