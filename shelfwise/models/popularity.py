@@ -9,6 +9,7 @@ from shelfwise.functions.columns import known
 from shelfwise.operators.interactions import users as distinct_users
 from shelfwise.operators.ranking import as_recs, rank_items, rank_shared_items
 from shelfwise.schemas import ITEM, VALUE, check_k
+from shelfwise.settings import cut_lineage
 
 NAME = "popularity"
 
@@ -19,8 +20,8 @@ def item_popularity(train: DataFrame) -> DataFrame:
 
 
 def fit_popularity(train: DataFrame) -> DataFrame:
-    """The item list with its ranks, one row per train item; kept for reuse."""
-    return rank_items(item_popularity(train).persist())
+    """The item list with its ranks, one row per train item, written once."""
+    return cut_lineage(rank_items(cut_lineage(item_popularity(train))))
 
 
 def recommend_popular(ranked: DataFrame, train: DataFrame, k: int = 10, exclude_seen: bool = True) -> DataFrame:

@@ -29,15 +29,19 @@ def active_interactions(interactions: DataFrame, min_items: int = 10) -> DataFra
     return interactions.join(active_users(interactions, min_items).select(USER), USER, "left_semi")
 
 
+def keep_active(pairs: DataFrame, min_items: int = 10) -> DataFrame:
+    """Rows of users with at least ``min_items`` rows in a table of distinct pairs."""
+    active = pairs.groupBy(USER).agg(F.count("*").alias("n")).where(F.col("n") >= min_items)
+    return pairs.join(active.select(USER), USER, "left_semi")
+
+
 def collapse(interactions: DataFrame, min_items: int = 10) -> DataFrame:
     """Active users' interactions, one row per (user, item) with summed values.
 
     The sums come first: the pair table is the distinct table the activity count
-    needs, so the raw rows are shuffled once instead of twice.
+    needs, so users are counted on pairs instead of raw rows.
     """
-    pairs = pair_sums(interactions)
-    active = pairs.groupBy(USER).agg(F.count("*").alias("n")).where(F.col("n") >= min_items)
-    return pairs.join(active.select(USER), USER, "left_semi")
+    return keep_active(pair_sums(interactions), min_items)
 
 
 def collapse_joined(interactions_users: DataFrame, min_items: int = 10) -> DataFrame:

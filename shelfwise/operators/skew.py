@@ -11,12 +11,15 @@ from shelfwise import settings
 def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Keys with more than ``limit`` rows: (key, n, parts).
 
-    At most rows / limit keys qualify, which bounds the table; ``parts`` is the
-    number of pieces that brings each below the limit.
+    ``parts`` is the number of pieces that brings each below the limit.  On very
+    large tables the limit rises to a millionth of the rows, so that at most
+    ``HOT_KEYS`` keys qualify and the table may be sent to every task.
     """
     limit = limit or settings.HOT_KEY_ROWS
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return counts.select(key, "n", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    share = df.agg(F.count("*")).scalar() / F.lit(settings.HOT_KEYS)
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    bounded = counts.withColumn("_limit", F.greatest(F.lit(float(limit)), share)).where(F.col("n") > F.col("_limit"))
+    return bounded.select(key, "n", F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("parts"))
 
 
 def with_parts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import HASH_RANGE, digest, digest_number
 from shelfwise.operators.skew import hot_keys, with_parts
 from shelfwise.schemas import ITEM, USER
+from shelfwise.settings import cut_lineage
 
 
 def stratified_split(
@@ -22,6 +23,11 @@ def stratified_split(
     """
     hashed = pairs.withColumn("_digest", digest(USER, ITEM, F.lit(str(seed))))
     hot = hot_keys(pairs, USER, hot_rows)
+    if hot.isEmpty():
+        group = W.partitionBy(USER)
+        ranked = hashed.withColumn("_rank", F.row_number().over(group.orderBy("_digest", ITEM)))
+        return _assigned(ranked.withColumn("_size", F.count("*").over(group)), pairs.columns, test_size)
+    hot = cut_lineage(hot)
     position = digest_number(F.col("_digest")) / F.lit(float(HASH_RANGE))
     ranged = with_parts(hashed, USER, hot).withColumn(
         "_range", F.least(F.floor(position * F.col("parts")), F.col("parts") - 1).cast("int")
@@ -40,8 +46,12 @@ def stratified_split(
         .join(F.broadcast(offsets), [USER, "_range"], "left")
         .withColumn("_rank", F.col("_place") + F.coalesce("_offset", F.lit(0)))
     )
+    return _assigned(ranked, pairs.columns, test_size)
+
+
+def _assigned(ranked: DataFrame, columns: list[str], test_size: float) -> DataFrame:
     is_test = F.col("_rank") <= F.floor(F.col("_size") * F.lit(test_size) + F.lit(0.5))
-    return ranked.select(*pairs.columns, F.when(is_test, "test").otherwise("train").alias("split"))
+    return ranked.select(*columns, F.when(is_test, "test").otherwise("train").alias("split"))
 
 
 def part(assigned: DataFrame, which: str) -> DataFrame:

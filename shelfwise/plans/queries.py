@@ -55,12 +55,13 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def shared_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The train and test rows that the model queries share."""
     return _once(spark, folder, "parts", lambda: prepare(_read(spark, folder), MIN_ITEMS, 0.2, SEED))
 
 
 def _train(spark: SparkSession, folder: str) -> DataFrame:
-    return _parts(spark, folder)[0]
+    return shared_parts(spark, folder)[0]
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +129,7 @@ def split_assignment(spark, folder):
 
 
 def ground_truth(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     lists = evaluation.truth_lists(train, test)
     counts = evaluation.truth_counts(train, test)
     return lists.join(counts, USER).select(
@@ -180,7 +181,7 @@ def recs_wide(spark, folder):
 
 
 def hits_per_user(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     found = evaluation.hits_per_user(popularity_topk(spark, folder), train, test, K, [popularity.NAME])
     return found.withColumn("score", F.round("score", 9))
 
@@ -190,19 +191,19 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 
 def hit_rate_popularity(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     return _rounded(evaluation.hit_rate_at_k(popularity_topk(spark, folder), train, test, K))
 
 
 def hit_rate_empty_test(spark, folder):
     """Only test rows above the mean test value count, which leaves some users without any."""
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     liked = test.where(F.col(VALUE) > test.agg(F.avg(VALUE)).scalar())
     return _rounded(evaluation.hit_rate_at_k(popularity_topk(spark, folder), train, liked, K))
 
 
 def map_at_k(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     return _rounded(evaluation.map_at_k(popularity_topk(spark, folder), train, test, K))
 
 
@@ -241,7 +242,7 @@ def cf_topk_fill_popular(spark, folder):
 
 
 def hit_rate_cf(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     return _rounded(evaluation.hit_rate_at_k(cut_lineage(cf_topk(spark, folder)), train, test, K))
 
 
@@ -303,7 +304,7 @@ def svd_topk(spark, folder):
 
 
 def hit_rate_learned(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     recs = cut_lineage(svd_topk(spark, folder))
     for make in (content_topk, fm_topk):
         recs = recs.unionByName(cut_lineage(make(spark, folder)))
@@ -311,7 +312,7 @@ def hit_rate_learned(spark, folder):
 
 
 def model_comparison(spark, folder):
-    train, test = _parts(spark, folder)
+    train, test = shared_parts(spark, folder)
     recs = popularity_topk(spark, folder).unionByName(cf_topk(spark, folder))
     return evaluation.compare(cut_lineage(recs), train, test, K)
 

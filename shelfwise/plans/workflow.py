@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators.evaluation import compare, hit_rate_at_k
-from shelfwise.operators.interactions import collapse
+from shelfwise.operators.interactions import keep_active, pair_sums
 from shelfwise.operators.split import part, stratified_split
 from shelfwise.schemas import check_k
 from shelfwise.settings import cut_lineage
@@ -58,8 +58,13 @@ class Outcome:
 
 
 def prepare(interactions: DataFrame, min_items: int, test_size: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Collapse, keep active users and split; both parts read one materialised table."""
-    assigned = cut_lineage(stratified_split(collapse(interactions, min_items), test_size, seed))
+    """Collapse, keep active users and split; both parts read one written table.
+
+    The pair sums are written first, since counting and filtering users reads them
+    again and the raw rows should be shuffled once.
+    """
+    pairs = cut_lineage(pair_sums(interactions))
+    assigned = cut_lineage(stratified_split(keep_active(pairs, min_items), test_size, seed))
     return part(assigned, "train"), part(assigned, "test")
 
 
