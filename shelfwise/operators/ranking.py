@@ -11,6 +11,7 @@ from shelfwise.functions import kernels
 from shelfwise.functions.columns import rank_order
 from shelfwise.operators.indexing import global_rank
 from shelfwise.schemas import ITEM, USER, check_k
+from shelfwise.settings import cut_lineage
 
 
 def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def shared_candidates(ranked: DataFrame, users: DataFrame, seen: DataFrame, k: i
     most = seen.groupBy(USER).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
     reach = F.lit(k) + F.coalesce(most, F.lit(0))
     places = ranked.select(ITEM, "pop_rank").where(F.col("pop_rank") <= reach)
-    passed = seen.select(USER, ITEM).join(places, ITEM).select(USER, "pop_rank")
+    # Few rows of a large table, needed twice: written once.
+    passed = cut_lineage(seen.select(USER, ITEM).join(places, ITEM).select(USER, "pop_rank"))
     counts = passed.groupBy(USER).agg(F.count("*").alias("c"))
     last = F.lit(k) + F.coalesce("c", F.lit(0))
     slots = users.join(counts, USER, "left").select(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators import evaluation, interactions, ranking
-from shelfwise.operators.split import stratified_split
-from shelfwise.plans.workflow import prepare
+from shelfwise.plans.workflow import assign, prepare
 from shelfwise.schemas import ITEM, USER, VALUE
 from shelfwise.settings import cut_lineage, scratch_path
 from shelfwise.sources import triplets, views
@@ -125,7 +124,7 @@ def collapsed_with_fanout(spark, folder):
 
 
 def split_assignment(spark, folder):
-    return stratified_split(collapsed_interactions(spark, folder), 0.2, SEED)
+    return assign(_read(spark, folder), MIN_ITEMS, 0.2, SEED)
 
 
 def ground_truth(spark, folder):

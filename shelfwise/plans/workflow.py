@@ -57,14 +57,19 @@ class Outcome:
     scores: DataFrame
 
 
-def prepare(interactions: DataFrame, min_items: int, test_size: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Collapse, keep active users and split; both parts read one written table.
+def assign(interactions: DataFrame, min_items: int, test_size: float, seed: int) -> DataFrame:
+    """Collapsed rows of active users with their ``split``.
 
     The pair sums are written first, since counting and filtering users reads them
     again and the raw rows should be shuffled once.
     """
     pairs = cut_lineage(pair_sums(interactions))
-    assigned = cut_lineage(stratified_split(keep_active(pairs, min_items), test_size, seed))
+    return stratified_split(keep_active(pairs, min_items), test_size, seed)
+
+
+def prepare(interactions: DataFrame, min_items: int, test_size: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The train and the test rows; both read one written table."""
+    assigned = cut_lineage(assign(interactions, min_items, test_size, seed))
     return part(assigned, "train"), part(assigned, "test")
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from helpers import brute_topk, dense, lists, random_ratings, rows
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from shelfwise import settings
 from shelfwise.models import content, fm, svd
+from shelfwise.operators import vectors
 from shelfwise.operators.sampling import negative_pairs
 
 
@@ -51,6 +52,16 @@ def test_svd_lists(ratings, block_bytes):
         assert found[user] == [item for item, _ in brute_topk(unseen, 5)]
 
 
+def test_blocks_are_added_up_in_two_levels_when_large(ratings, monkeypatch):
+    data = low_rank(30, 20, 5, 1)
+    _, items, matrix = dense(data)
+    train = ratings(data).repartition(6)
+    monkeypatch.setattr(vectors, "_FAN_IN", 2)
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", 1)
+    model = svd.fit_svd(train, 3, method="gram")
+    assert np.allclose(model.singular_values, np.linalg.svd(matrix)[1][:3], atol=1e-8)
+
+
 def test_svd_rank_is_checked_and_may_exceed_the_matrix(ratings):
     train = ratings(random_ratings(6, 6, 5, 0.6))
     with pytest.raises(ValueError):
