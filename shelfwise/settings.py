@@ -25,8 +25,10 @@ TILE_ROWS = 1_000_000
 GRAM_ITEMS = 4_096
 # Leading ranks of a shared item list that are sent to every task.
 HEAD_RANKS = 100_000
-# Items listed in one row of the wide display view.
+# Items in one packed list, in the display view and in the neighbour join.
 LIST_ITEMS = 10_000
+# Links that meet one packed list in one task.
+LINK_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
