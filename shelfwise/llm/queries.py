@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import decontam, mixing, sharding, simhash
+from shelfwise.llm import decontam, html_text, licenses, mixing, quality, sharding, simhash, substrings, urls, vectors
 from shelfwise.llm.tables import table
 
 
@@ -14,10 +14,34 @@ def op2_decontamination(spark, sf_dir):
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_embeddings(spark, sf_dir):
+    return vectors.link_report(table(spark, sf_dir, "embeddings"))
+
+
+def op7_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_substrings(spark, sf_dir):
+    return substrings.passage_report(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -58,7 +82,13 @@ JOIN line l ON s.source IS NOT DISTINCT FROM l.source AND s.doc_id IS NOT DISTIN
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
+    "op6_embeddings": op6_embeddings,
+    "op7_urls": op7_urls,
+    "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
 }
 
