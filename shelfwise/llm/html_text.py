@@ -296,7 +296,7 @@ def _layouts(paragraphs: list[str], notes: list[str], rng: random.Random) -> tup
     if rng.random() < 0.7:
         leaf("h1", rng.choice(notes), 1)
     for text in paragraphs:
-        leaf(rng.choice(["p", "p", "p", "blockquote", "h2", "li", "pre", "td"]), text, 1)
+        leaf(rng.choice(["p", "p", "p", "div", "div", "blockquote", "h2", "li", "pre", "td"]), text, 1)
         if rng.random() < 0.12:
             away(rng.random() < 0.5)
         if rng.random() < 0.08:
@@ -322,10 +322,11 @@ def train(pages: list[str], seed: int = 17) -> Field:
             examples.append((features(read), labels))
         long = [b.text for b, y in zip(read, labels, strict=True) if y][:12] or rng.sample(filler, 3)
         short = [b.text for b, y in zip(read, labels, strict=True) if not y][:12] or filler[:3]
-        made, known = _layouts(long, short, rng)
-        again = blocks(made)
-        if len(again) == len(known):
-            examples.append((features(again), known))
+        for _ in range(2):
+            made, known = _layouts(long, short, rng)
+            again = blocks(made)
+            if len(again) == len(known):
+                examples.append((features(again), known))
     return Field().fit(examples)
 
 
