@@ -157,14 +157,24 @@ class Passages:
 
     def __init__(self, width: int):
         self.width = width
-        self.shards = [Automaton()]
+        self.shards: list[Automaton] = []
         self.whole: set[bytes] = set()
+        self.waiting: list[bytes] = []
 
     def covered(self, passage: bytes) -> np.ndarray:
-        """For each window of ``passage``, whether it stands in an earlier one."""
+        """For each window of ``passage``, whether it stands in an earlier one.
+
+        A passage seen before needs no automaton, so passages wait to be added
+        until one comes that was not.
+        """
         n = len(passage) // 4 - self.width + 1
         if passage in self.whole:
             return np.ones(n, bool)
+        for earlier in self.waiting:
+            if not self.shards or len(self.shards[-1].length) > STATES:
+                self.shards.append(Automaton())
+            self.shards[-1].add(np.frombuffer(earlier, np.uint32).tolist())
+        self.waiting.clear()
         words = np.frombuffer(passage, np.uint32).tolist()
         found = np.zeros(n, bool)
         for automaton in self.shards:
@@ -176,9 +186,7 @@ class Passages:
         return found
 
     def add(self, passage: bytes) -> None:
-        if len(self.shards[-1].length) > STATES:
-            self.shards.append(Automaton())
-        self.shards[-1].add(np.frombuffer(passage, np.uint32).tolist())
+        self.waiting.append(passage)
         self.whole.add(passage)
 
 
