@@ -53,11 +53,11 @@ def shared_candidates(ranked: DataFrame, users: DataFrame, seen: DataFrame, k: i
     the rows made are k per user plus the seen rows that matter, never the grid.
     """
     check_k(k)
-    most = seen.groupBy(USER).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
-    reach = F.lit(k) + F.coalesce(most, F.lit(0))
-    places = ranked.select(ITEM, "pop_rank").where(F.col("pop_rank") <= reach)
+    reach = seen.groupBy(USER).agg((F.count("*") + k).alias("reach"))
+    places = ranked.select(ITEM, "pop_rank")
+    placed = seen.select(USER, ITEM).join(places, ITEM).join(reach, USER)
     # Few rows of a large table, needed twice: written once.
-    passed = cut_lineage(seen.select(USER, ITEM).join(places, ITEM).select(USER, "pop_rank"))
+    passed = cut_lineage(placed.where(F.col("pop_rank") <= F.col("reach")).select(USER, "pop_rank"))
     counts = passed.groupBy(USER).agg(F.count("*").alias("c"))
     last = F.lit(k) + F.coalesce("c", F.lit(0))
     slots = users.join(counts, USER, "left").select(
@@ -81,7 +81,10 @@ def rank_shared_items(
     """
     head_ranks = head_ranks or settings.HEAD_RANKS
     rank = F.row_number().over(W.partitionBy(USER).orderBy("pop_rank"))
-    chosen = shared_candidates(ranked, users, seen, k).withColumn("rank", rank).where(F.col("rank") <= k)
+    # Read by both joins below: written once, k rows per user.
+    chosen = cut_lineage(
+        shared_candidates(ranked, users, seen, k).withColumn("rank", rank).where(F.col("rank") <= k)
+    )
     in_head = F.col("pop_rank") <= head_ranks
     head = chosen.where(in_head).join(F.broadcast(ranked.where(in_head)), "pop_rank")
     tail = chosen.where(~in_head).join(ranked.where(~in_head), "pop_rank")

@@ -16,31 +16,31 @@ _STEPS = {
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "asset": """
         SELECT CAST(p_partkey AS VARCHAR) AS "contentId", CAST(p_size AS DOUBLE) AS asset
-        FROM part WHERE p_partkey % 10 <> 0""",
+        FROM part WHERE p_size > 5""",
     "price": """
         SELECT CAST(p_partkey AS VARCHAR) AS "contentId", p_retailprice / 1000 AS price
-        FROM part WHERE p_partkey % 7 <> 0""",
+        FROM part WHERE p_retailprice >= 950""",
     "subclass": """
         SELECT CAST(p_partkey AS VARCHAR) AS "contentId", CAST(p_size AS BIGINT) AS category_no,
                CAST(1 AS DOUBLE) AS category_flag
-        FROM part WHERE p_partkey % 11 <> 0
+        FROM part WHERE p_size < 46
         UNION ALL
         SELECT CAST(p_partkey AS VARCHAR), CAST(p_size + 100 AS BIGINT), CAST(1 AS DOUBLE)
-        FROM part WHERE p_partkey % 5 = 0""",
+        FROM part WHERE p_size > 40""",
     "items": """
         SELECT * FROM asset FULL OUTER JOIN price USING ("contentId") FULL OUTER JOIN subclass USING ("contentId")""",
     "age": """
         SELECT CAST(c_custkey AS VARCHAR) AS "personId", c_acctbal / 10000 AS age
-        FROM customer WHERE c_custkey % 9 <> 0""",
+        FROM customer WHERE c_acctbal > 0""",
     "region_one": """
         SELECT CAST(c_custkey AS VARCHAR) AS "personId", CAST(c_nationkey AS BIGINT) AS region_no,
                CAST(1 AS DOUBLE) AS region_flag
-        FROM customer WHERE c_custkey % 13 <> 0""",
+        FROM customer WHERE c_nationkey <> 7""",
     "region_multi": """
         SELECT * FROM region_one
         UNION ALL
         SELECT CAST(c_custkey AS VARCHAR), CAST(c_nationkey + 25 AS BIGINT), CAST(1 AS DOUBLE)
-        FROM customer WHERE c_custkey % 20 = 0""",
+        FROM customer WHERE c_acctbal > 9000""",
     "people": """SELECT * FROM region_one FULL OUTER JOIN age USING ("personId")""",
     "people_multi": """SELECT * FROM region_multi FULL OUTER JOIN age USING ("personId")""",
     "pairs": """
@@ -222,7 +222,7 @@ _BODIES = {
         WHERE "personId" IN (SELECT "personId" FROM active) GROUP BY 1, 2""",
     "split_assignment": "SELECT * FROM assigned",
     "ground_truth": """
-        SELECT a."personId", 0 AS part, a.n_train, n.n_test, a.true_train, coalesce(b.true_test, '') AS true_test
+        SELECT a."personId", a.n_train, n.n_test, a.true_train, coalesce(b.true_test, '') AS true_test
         FROM (SELECT "personId", count(*) AS n_train, string_agg("contentId", ',' ORDER BY "contentId") AS true_train
               FROM train GROUP BY 1) a
         JOIN n_test n USING ("personId")
@@ -240,11 +240,17 @@ _BODIES = {
         JOIN (SELECT u."personId", count(p.pop_rank) AS c
               FROM users u LEFT JOIN train t ON t."personId" = u."personId"
               LEFT JOIN popular p ON p."contentId" = t."contentId"
-                AND p.pop_rank <= {K} + (SELECT max(n) FROM (SELECT count(*) AS n FROM train GROUP BY "personId"))
+                AND p.pop_rank <= {K} + (SELECT count(*) FROM train o WHERE o."personId" = u."personId")
               GROUP BY 1) s ON s."personId" = u."personId"
         LEFT JOIN train t ON t."personId" = u."personId" AND t."contentId" = p."contentId"
         WHERE p.pop_rank <= {K} + s.c AND t."personId" IS NULL""",
     "popularity_topk": "SELECT * FROM popular_recs",
+    "recs_round_trip": "SELECT * FROM popular_recs",
+    "dropped_rows": "SELECT count(*) AS dropped FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 WHERE p_partkey IS NULL",
+    "learned_list_check": f"""
+        SELECT m.model, u."personId", least({K}, (SELECT count(*) FROM cat) - count(*)) AS n, true AS ranks_whole,
+               true AS scores_fall, 0 AS n_seen
+        FROM train u CROSS JOIN (VALUES ('svd'), ('content'), ('fm')) m(model) GROUP BY 1, 2""",
     "recs_wide": """
         SELECT model, "personId", string_agg("contentId", ',' ORDER BY "rank") AS items
         FROM popular_recs GROUP BY 1, 2""",

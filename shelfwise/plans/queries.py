@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators import evaluation, interactions, ranking
-from shelfwise.plans.workflow import assign, prepare
-from shelfwise.schemas import ITEM, USER, VALUE
+from shelfwise.plans.workflow import Config, Sources, assign, prepare, run_comparison
+from shelfwise.schemas import ITEM, RECS, USER, VALUE
 from shelfwise.settings import cut_lineage, scratch_path
 from shelfwise.sources import triplets, views
 
@@ -133,7 +134,6 @@ def ground_truth(spark, folder):
     counts = evaluation.truth_counts(train, test)
     return lists.join(counts, USER).select(
         USER,
-        "part",
         "n_train",
         "n_test",
         F.concat_ws(",", "true_train").alias("true_train"),
@@ -174,6 +174,20 @@ def popularity_topk(spark, folder):
     return popularity.recommend_popular(popularity.fit_popularity(train), train, K)
 
 
+def recs_round_trip(spark, folder):
+    """Lists written by the sink and read back."""
+    path = scratch_path(spark, "recs")
+    triplets.write_recs(popularity_topk(spark, folder), path)
+    return spark.read.schema(RECS).parquet(path)
+
+
+def dropped_rows(spark, folder):
+    """How many interactions ingest leaves out if only parts with an asset have an id."""
+    named = views.item_asset(spark, folder).select(F.col("row").alias("known"))
+    bought = views.interactions(spark, folder).join(named, F.col("col") == F.col("known"), "left")
+    return triplets.null_ids(spark, bought.select("row", F.col("known").alias("col"), "data"))
+
+
 def recs_wide(spark, folder):
     wide = evaluation.recs_wide(popularity_topk(spark, folder))
     return wide.select("model", USER, F.concat_ws(",", "items").alias("items"))
@@ -291,7 +305,7 @@ def fm_topk(spark, folder):
 
 
 def _svd(spark, folder) -> svd.SvdModel:
-    return svd.fit_svd(_train(spark, folder), 100, collapsed=True, tol=1e-3, seed=SEED)
+    return svd.fit_svd(_train(spark, folder), 100, collapsed=True, seed=SEED)
 
 
 def svd_factors(spark, folder):
@@ -302,11 +316,42 @@ def svd_topk(spark, folder):
     return svd.recommend_svd(_svd(spark, folder), _train(spark, folder), K, collapsed=True)
 
 
+def _learned(spark, folder) -> DataFrame:
+    """Lists of the three learned models, made once."""
+
+    def make() -> DataFrame:
+        recs = cut_lineage(svd_topk(spark, folder))
+        for one in (content_topk, fm_topk):
+            recs = recs.unionByName(cut_lineage(one(spark, folder)))
+        return recs
+
+    return _once(spark, folder, "learned", make)
+
+
+def learned_list_check(spark, folder):
+    """What must hold of any list: its length, ranks 1..n, falling scores, nothing seen."""
+    recs = _learned(spark, folder)
+    seen = _train(spark, folder).select(USER, ITEM, F.lit(1).alias("seen"))
+    by_rank = W.partitionBy("model", USER).orderBy("rank")
+    marked = recs.join(seen, [USER, ITEM], "left").withColumn("before", F.lag(F.round("score", 9)).over(by_rank))
+    return marked.groupBy("model", USER).agg(
+        F.count_distinct(ITEM).alias("n"),
+        (F.sort_array(F.collect_list("rank")) == F.sequence(F.lit(1), F.count("*").cast("int"))).alias("ranks_whole"),
+        F.bool_and(F.coalesce(F.round("score", 9) <= F.col("before"), F.lit(True))).alias("scores_fall"),
+        F.count("seen").alias("n_seen"),
+    )
+
+
+def five_model_comparison(spark, folder):
+    """The whole comparison from the input files to one score per model."""
+    names = ("interactions", "item_asset", "item_price", "item_subclass")
+    sources = Sources(*(_csv(spark, folder, n) for n in names))
+    return run_comparison(spark, sources, Config(k=K, min_items=MIN_ITEMS, seed=SEED)).scores
+
+
 def hit_rate_learned(spark, folder):
     train, test = shared_parts(spark, folder)
-    recs = cut_lineage(svd_topk(spark, folder))
-    for make in (content_topk, fm_topk):
-        recs = recs.unionByName(cut_lineage(make(spark, folder)))
+    recs = _learned(spark, folder)
     return _rounded(evaluation.hit_rate_at_k(recs, train, test, K))
 
 
@@ -337,6 +382,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_items,
         candidates_unseen,
         popularity_topk,
+        recs_round_trip,
+        dropped_rows,
         recs_wide,
         hits_per_user,
         hit_rate_popularity,
@@ -361,6 +408,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         svd_factors,
         svd_topk,
         hit_rate_learned,
+        learned_list_check,
+        five_model_comparison,
         model_comparison,
     )
 }

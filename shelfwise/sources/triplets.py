@@ -18,7 +18,8 @@ def read_triplets(spark: SparkSession, source: Source, sep: str = ";") -> DataFr
     """Triplets with string ids and a double value; NaN values become null.
 
     For a path, the header line is checked before the scan: a missing column or
-    a wrong separator raises ``ValueError``.
+    a wrong separator raises ``ValueError``.  The scan fails on a file whose header
+    has another order, and on a value that is no number.
     """
     if isinstance(source, DataFrame):
         validate_columns(source.columns, TRIPLET_COLUMNS, "the table")
@@ -30,6 +31,8 @@ def read_triplets(spark: SparkSession, source: Source, sep: str = ";") -> DataFr
             spark.read.schema(TRIPLET if tuple(header) == TRIPLET_COLUMNS else _by_header(header))
             .option("header", True)
             .option("sep", sep)
+            .option("enforceSchema", False)
+            .option("mode", "FAILFAST")
             .csv(source)
         )
     value = F.col("data").cast("double")

@@ -66,7 +66,8 @@ def test_svd_rank_is_checked_and_may_exceed_the_matrix(ratings):
     train = ratings(random_ratings(6, 6, 5, 0.6))
     with pytest.raises(ValueError):
         svd.fit_svd(train, 0)
-    assert len(svd.fit_svd(train, 50).singular_values) == 5
+    with pytest.warns(UserWarning, match="rank 50"):
+        assert len(svd.fit_svd(train, 50).singular_values) == 5
 
 
 def test_block_solver_on_a_sparse_matrix_needs_many_passes(ratings):
@@ -77,8 +78,8 @@ def test_block_solver_on_a_sparse_matrix_needs_many_passes(ratings):
     assert np.allclose(model.singular_values, np.linalg.svd(matrix)[1][:10], atol=1e-5)
 
 
-def test_unconverged_svd_warns(ratings):
-    with pytest.warns(UserWarning):
+def test_unconverged_svd_raises(ratings):
+    with pytest.raises(RuntimeError):
         svd.fit_svd(ratings(random_ratings(9, 60, 50, 0.2)), 4, method="table", tol=1e-12, max_passes=2)
 
 

@@ -105,3 +105,13 @@ def test_map_at_k(spark, ratings):
 def test_wide_lists(spark):
     recs = spark.createDataFrame([("m", "u", 2, "b", 0.1), ("m", "u", 1, "z", 0.2)], RECS)
     assert evaluation.recs_wide(recs).first()["items"] == ["z", "b"]
+
+
+def test_lists_longer_than_k_are_cut(spark, ratings):
+    train, test = ratings([("u", "seen", 1.0)]), ratings([("u", f"i{n}", 1.0) for n in range(10)])
+    recs = spark.createDataFrame(
+        [("m", "u", n + 1, f"i{n}", 1.0 - n / 10) for n in range(10)],
+        "model string, personId string, rank int, contentId string, score double",
+    )
+    assert evaluation.hit_rate_at_k(recs, train, test, 5).first()["score"] == 1.0
+    assert evaluation.hits_per_user(recs, train, test, 5).first()["hits"] == 5

@@ -71,3 +71,16 @@ def test_recs_are_written_by_model(spark, tmp_path):
     recs = spark.createDataFrame([("m", "u", 1, "i", 0.5)], "model string, personId string, rank int, contentId string, score double")
     path = triplets.write_recs(recs, str(tmp_path / "recs"))
     assert rows(spark.read.parquet(path), *recs.columns) == rows(recs)
+
+
+def test_other_column_order_and_bad_numbers_fail(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("row;col;data\nu;i;1.0\n")
+    (folder / "b.csv").write_text("col;row;data\ni;u;1.0\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        triplets.read_interactions(spark, str(folder)).collect()
+    bad = tmp_path / "bad.csv"
+    bad.write_text("row;col;data\nu;i;abc\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        triplets.read_interactions(spark, str(bad)).collect()
