@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfwise import settings
 from shelfwise.functions.columns import digest
+from shelfwise.settings import cut_lineage
 
-_SAMPLES_PER_BUCKET = 32
 _CUTOFF_BUCKETS = 1 << 16
 
 
@@ -25,40 +25,30 @@ def global_rank(
     """Number all rows 1..n in ascending order of ``keys`` (unique together).
 
     Up to ``bucket_rows`` rows are numbered by one window.  Beyond that the rows
-    are cut into key ranges, each range is numbered by its own task and shifted
-    by the sizes of the ranges before it.  The range bounds come from a sample,
-    which moves work between tasks but never changes a rank.
+    are dealt to key ranges and written, each range is numbered by its own task
+    and shifted by the sizes of the ranges before it.  The bounds come from Spark's
+    sample, which moves work between tasks but never changes a rank.
     """
     bucket_rows = bucket_rows or settings.RANK_BUCKET_ROWS
     rows = df.count() if rows is None else rows
     if rows <= bucket_rows:
         return df.withColumn(name, F.row_number().over(W.orderBy(*keys)).cast("bigint"))
 
-    buckets = math.ceil(rows / bucket_rows)
-    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(keys)])
-    step = max(1, rows // (buckets * _SAMPLES_PER_BUCKET))
-    keyed = df.withColumn("_key", key)
-    sample = (
-        keyed.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).orderBy("_key").collect()
-    )
-    every = max(1, len(sample) // buckets)
-    bounds = [row["_key"] for row in sample[every::every]]
-    kind = keyed.schema["_key"].dataType
-    limits = F.array(*[F.struct(*[F.lit(v).alias(f.name) for v, f in zip(b, kind.fields)]) for b in bounds])
-    bucketed = keyed.withColumn("_bucket", F.size(F.filter(limits, lambda b: b <= F.col("_key"))))
-    # One row per range, so this table has at most len(bounds) + 1 rows.
+    ranges = df.repartitionByRange(math.ceil(rows / bucket_rows), *keys)
+    ranged = cut_lineage(ranges.withColumn("_bucket", F.spark_partition_id()))
+    # One row per range.
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        bucketed.groupBy("_bucket")
+        ranged.groupBy("_bucket")
         .count()
         .select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     )
-    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_key"))
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys))
     return (
-        bucketed.withColumn("_place", place)
-        .join(F.broadcast(starts), "_bucket")
+        ranged.withColumn("_place", place)
+        .join(starts, "_bucket")
         .withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_key", "_bucket", "_place", "_start")
+        .drop("_bucket", "_place", "_start")
     )
 
 

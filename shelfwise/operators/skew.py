@@ -11,20 +11,17 @@ from shelfwise import settings
 def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Keys with more than ``limit`` rows: (key, n, parts).
 
-    ``parts`` is the number of pieces that brings each below the limit.  On very
-    large tables the limit rises to a millionth of the rows, so that at most
-    ``HOT_KEYS`` keys qualify and the table may be sent to every task.
+    ``parts`` is the number of pieces that brings each below the limit.  The table
+    is written, so the planner knows its size and broadcasts it only while small.
     """
     limit = limit or settings.HOT_KEY_ROWS
-    share = df.agg(F.count("*")).scalar() / F.lit(settings.HOT_KEYS)
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    bounded = counts.withColumn("_limit", F.greatest(F.lit(float(limit)), share)).where(F.col("n") > F.col("_limit"))
-    return bounded.select(key, "n", F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("parts"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return settings.cut_lineage(counts.withColumn("parts", F.ceil(F.col("n") / limit).cast("int")))
 
 
 def with_parts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Add ``parts`` (1 unless the key is hot) and ``n`` (null unless hot)."""
-    return df.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return df.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
 def salted_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:

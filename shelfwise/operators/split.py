@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import HASH_RANGE, digest, digest_number
 from shelfwise.operators.skew import hot_keys, with_parts
 from shelfwise.schemas import ITEM, USER
-from shelfwise.settings import cut_lineage
 
 
 def stratified_split(
@@ -27,7 +26,6 @@ def stratified_split(
         group = W.partitionBy(USER)
         ranked = hashed.withColumn("_rank", F.row_number().over(group.orderBy("_digest", ITEM)))
         return _assigned(ranked.withColumn("_size", F.count("*").over(group)), pairs.columns, test_size)
-    hot = cut_lineage(hot)
     position = digest_number(F.col("_digest")) / F.lit(float(HASH_RANGE))
     ranged = with_parts(hashed, USER, hot).withColumn(
         "_range", F.least(F.floor(position * F.col("parts")), F.col("parts") - 1).cast("int")
@@ -43,7 +41,7 @@ def stratified_split(
     ranked = (
         ranged.withColumn("_place", F.row_number().over(group.orderBy("_digest", ITEM)))
         .withColumn("_size", F.coalesce(F.col("n"), F.count("*").over(group)))
-        .join(F.broadcast(offsets), [USER, "_range"], "left")
+        .join(offsets, [USER, "_range"], "left")
         .withColumn("_rank", F.col("_place") + F.coalesce("_offset", F.lit(0)))
     )
     return _assigned(ranked, pairs.columns, test_size)

@@ -102,7 +102,7 @@ _STEPS = {
 
 
 def _sample(name: str, wanted: str, exclude: bool) -> str:
-    """Steps of a negative sample: both rules, of which the sizes pick one."""
+    """Steps of a negative sample: the first n distinct free pairs among draws, or all where all are wanted."""
     taken = """WHERE NOT EXISTS (SELECT 1 FROM train t JOIN user_no u USING ("personId") JOIN item_no i USING ("contentId")
                         WHERE u.user_no = d.user_no AND i.item_no = d.item_no)""" if exclude else ""
     free = "count(*) FROM train" if exclude else "0"
@@ -116,23 +116,18 @@ def _sample(name: str, wanted: str, exclude: bool) -> str:
     {name}_draw AS (
         SELECT id, {user} % (SELECT n_users FROM {name}_size) AS user_no,
                {item} % (SELECT n_items FROM {name}_size) AS item_no
-        FROM (SELECT unnest(range(0, (SELECT 3 * n + 1000 FROM {name}_size))) AS id)),
+        FROM (SELECT unnest(range(0, (SELECT CASE WHEN n < free THEN CAST(
+            (1.5 * ln(free / (free - n)) + 10 * sqrt(n) / free) * n_users * n_items + 1000 AS BIGINT) ELSE 0 END
+            FROM {name}_size))) AS id)),
     {name}_first AS (
         SELECT user_no, item_no, min(id) AS id FROM {name}_draw d {taken} GROUP BY 1, 2),
-    {name}_cell AS (
-        SELECT d.user_no, d.item_no, md5(u."personId" || '|' || i."contentId" || '|{SEED}') AS place
-        FROM (SELECT u.user_no, i.item_no FROM user_no u CROSS JOIN item_no i
-              WHERE (SELECT 2 * n > free FROM {name}_size)) d
-        JOIN user_no u USING (user_no) JOIN item_no i USING (item_no) {taken}),
     {name}_no AS (
         SELECT user_no, item_no FROM (
-            SELECT user_no, item_no, row_number() OVER (ORDER BY id) AS r FROM {name}_first
-            WHERE (SELECT 2 * n <= free FROM {name}_size))
+            SELECT user_no, item_no, row_number() OVER (ORDER BY id) AS r FROM {name}_first)
         WHERE r <= (SELECT n FROM {name}_size)
         UNION ALL
-        SELECT user_no, item_no FROM (
-            SELECT user_no, item_no, row_number() OVER (ORDER BY place) AS r FROM {name}_cell)
-        WHERE r <= (SELECT n FROM {name}_size)),
+        SELECT user_no, item_no FROM (SELECT u.user_no, i.item_no FROM user_no u CROSS JOIN item_no i
+            WHERE (SELECT n = free FROM {name}_size)) d {taken}),
     {name} AS (
         SELECT "personId", "contentId" FROM {name}_no JOIN user_no USING (user_no) JOIN item_no USING (item_no))"""
 

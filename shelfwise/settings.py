@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one key (a user, an item) that a single task may sort or hold.
 HOT_KEY_ROWS = 1_000_000
-# Keys that may be treated as hot at a time; their table goes to every task.
-HOT_KEYS = 1_000_000
 # Rows that one unpartitioned window may number.
 RANK_BUCKET_ROWS = 1_000_000
 # Bytes of a numeric block that is sent to every executor.
 BROADCAST_BYTES = 256 * 1024 * 1024
-# Ratings in one user block of the similarity tiles.
-TILE_ROWS = 1_000_000
+# Raters of one item that meet under one key of the similarity join.
+ITEM_ROWS = 2_000
+# Pairs of ratings that one task of the similarity join should make.
+TASK_PAIRS = 20_000_000
 # Items up to which the item-item Gram matrix is decomposed directly.
 GRAM_ITEMS = 4_096
 # Leading ranks of a shared item list that are sent to every task.
