@@ -21,6 +21,7 @@ once each; null ids are reported as null; empty tables leave everything clean.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,27 +34,34 @@ from shelfwise.llm.tables import Batches, Hashes, fresh
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 2_000_000
+CHUNK = 1 << 16  # words of documents that are looked up together
 
 
-def seeds(width: int, substitutions: int = 2) -> list[np.ndarray]:
-    """Positions that each mask keeps; some mask ignores any ``substitutions`` positions."""
+def kept_groups(width: int, substitutions: int = 2) -> list[list[np.ndarray]]:
+    """The groups of positions that each mask keeps."""
     groups = np.array_split(np.arange(width), substitutions + 2)
     ignored = combinations(range(len(groups)), substitutions)
-    return [np.concatenate([g for i, g in enumerate(groups) if i not in away]) for away in ignored]
+    return [[g for i, g in enumerate(groups) if i not in away] for away in ignored]
+
+
+def seeds(width: int, substitutions: int = 2) -> list[np.ndarray]:
+    """Positions that each mask keeps; some mask ignores any ``substitutions`` positions."""
+    return [np.concatenate(groups) for groups in kept_groups(width, substitutions)]
 
 
-def _hash(words: np.ndarray, n: int, places: np.ndarray, salt: int) -> np.ndarray:
-    out = np.full(n, salt + 1, np.uint64)
-    for p in places:
+def _mixed(columns: list[np.ndarray], salt: int) -> np.ndarray:
+    """One hash of the values that stand at the same place of the columns."""
+    out = np.full(len(columns[0]), salt + 1, np.uint64)
+    for column in columns:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
-        out += words[p : p + n]
+        out += column
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [w.encode() for w in WORDS.findall((text or "").lower())]
+def words_of(text: str | None) -> list[str]:
+    return WORDS.findall((text or "").lower())
 
 
 class SeedIndex:
@@ -66,48 +74,80 @@ class SeedIndex:
         self.words = [hashes.of(words_of(t)) for _, t in items]
         longest = [min(len(w), width) for w in self.words]
         # One family of masks for whole windows, one plain hash for each shorter length.
-        self.families = [(width, m, s) for s, m in enumerate(seeds(width, substitutions))]
-        self.families += [(n, np.arange(n), 100 + n) for n in sorted({x for x in longest if least <= x < width})]
+        self.families = [(width, groups, s) for s, groups in enumerate(kept_groups(width, substitutions))]
+        self.families += [(n, [np.arange(n)], 100 + n) for n in sorted({x for x in longest if least <= x < width})]
+        own = {n: [i for i, x in enumerate(longest) if x == n] for n, _, _ in self.families}
+        places = {n: [len(self.words[i]) - n + 1 for i in own[n]] for n in own}
+        every = {n: [self._keys(self.words[i]) for i in own[n]] for n in own}
         self.tables = []
-        for n, places, salt in self.families:
-            keys, item, at = [], [], []
-            for i, (w, x) in enumerate(zip(self.words, longest, strict=True)):
-                if x == n:
-                    k = _hash(w, len(w) - n + 1, places, salt)
-                    keys.append(k)
-                    item.append(np.full(len(k), i))
-                    at.append(np.arange(len(k)))
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        for f, (n, _, _) in enumerate(self.families):
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k[f] for k in every[n])])
             order = np.argsort(keys, kind="stable")
-            item = np.concatenate(item)[order] if len(keys) else np.zeros(0, int)
-            at = np.concatenate(at)[order] if len(keys) else np.zeros(0, int)
+            item = np.repeat(np.array(own[n], int), places[n])[order]
+            at = np.concatenate([np.zeros(0, int), *map(np.arange, places[n])])[order]
             keys = keys[order]
             # A first look at 20 bits of the hash spares most of the binary searches.
             bits = np.zeros(1 << 20, bool)
             bits[keys >> np.uint64(44)] = True
             self.tables.append((keys, item, at, bits))
 
-    def leaks(self, words: np.ndarray) -> dict[int, set[int]]:
-        """Item number -> first words of the document's windows that stand in it."""
-        found: dict[int, set[int]] = {}
-        for (n, places, salt), (keys, item, at, bits) in zip(self.families, self.tables, strict=True):
-            if len(words) < n or not len(keys):
-                continue
-            own = _hash(words, len(words) - n + 1, places, salt)
-            maybe = np.nonzero(bits[own >> np.uint64(44)])[0]
+    def _keys(self, words: np.ndarray) -> list[np.ndarray]:
+        """For each family, the hash at each window; a group that masks share is hashed once."""
+        known: dict[tuple, np.ndarray] = {}
+        out = []
+        for width, groups, salt in self.families:
+            n = max(len(words) - width + 1, 0)
+            parts = []
+            for group in groups:
+                name = (width, int(group[0]))
+                if name not in known:
+                    known[name] = _mixed([words[p : p + n] for p in group], 0)
+                parts.append(known[name])
+            out.append(_mixed(parts, salt))
+        return out
+
+    def leaks(self, words: np.ndarray, sizes: list[int]) -> list[dict[int, set[int]]]:
+        """For each of the documents whose ``sizes`` words follow one another: item number ->
+        first words of the document's windows that stand in it."""
+        ends = np.cumsum(np.array(sizes, np.int64))
+        starts = ends - sizes
+        found: list[dict[int, set[int]]] = [{} for _ in sizes]
+        for (n, _, _), own, (keys, item, at, bits) in zip(self.families, self._keys(words), self.tables, strict=True):
+            maybe = np.flatnonzero(bits[own >> np.uint64(44)])
+            doc = np.searchsorted(ends, maybe, "right")
+            inside = maybe + n <= ends[doc]
+            maybe, doc = maybe[inside], doc[inside]
             low = np.searchsorted(keys, own[maybe], "left")
             high = np.searchsorted(keys, own[maybe], "right")
             allowed = self.substitutions if n == self.width else 0
-            for p, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
+            hit = np.flatnonzero(high > low)
+            first = (maybe - starts[doc])[hit].tolist()
+            for p, q, d, a, b in zip(
+                maybe[hit].tolist(), first, doc[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True
+            ):
                 for k in range(a, b):
                     i = int(item[k])
-                    if p in found.get(i, ()):
+                    if q in found[d].get(i, ()):
                         continue
                     there = self.words[i][at[k] : at[k] + n]
                     if np.count_nonzero(words[p : p + n] != there) <= allowed:
-                        found.setdefault(i, set()).add(p)
+                        found[d].setdefault(i, set()).add(q)
         return found
 
+    def leaks_of(self, texts: Iterable[str | None], hashes: Hashes) -> Iterator[dict[int, set[int]]]:
+        """Leaks of each text in turn, looked up for about ``CHUNK`` words at a time."""
+        words: list[str] = []
+        sizes: list[int] = []
+        for text in texts:
+            own = words_of(text)
+            words += own
+            sizes.append(len(own))
+            if len(words) >= CHUNK:
+                yield from self.leaks(hashes.of(words), sizes)
+                words, sizes = [], []
+        if sizes:
+            yield from self.leaks(hashes.of(words), sizes)
+
     def span(self, item: int) -> int:
         return min(len(self.words[item]), self.width)
 
@@ -134,8 +174,9 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **set
             index, hashes = shared.value, Hashes()
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for i, places in index.leaks(hashes.of(words_of(text))).items():
+                found = index.leaks_of(batch.column(1).to_pylist(), hashes)
+                for doc, leaks in zip(batch.column(0).to_pylist(), found, strict=True):
+                    for i, places in leaks.items():
                         span = index.span(i)
                         covered = {p + j for p in places for j in range(span)}
                         rows.append((doc, index.ids[i], len(places), len(covered), min(places)))
@@ -150,8 +191,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **set
 def _leaks(shared):
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        hashes = Hashes()
-        return texts.map(lambda t: bool(shared.value.leaks(hashes.of(words_of(t)))))
+        return pd.Series([bool(found) for found in shared.value.leaks_of(texts, Hashes())], dtype=bool)
 
     return leaks
 

@@ -50,13 +50,13 @@ class Hashes(dict):
 
     LIMIT = 500_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         found = xxhash.xxh3_64_intdigest(word)
         if len(self) < self.LIMIT:
             self[word] = found
         return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
