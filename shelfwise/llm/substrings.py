@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -46,23 +47,53 @@ BITS = 28
 SEEN = 200_000  # passages that one task remembers at a time
 LAST = 2**63 - 1  # order of a null id
 STATES = 100_000  # states of one automaton of a shard
+CHUNK = 1 << 16  # words whose anchors are found together
 
 
-def anchors(hashes: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window, windows) of each run of windows with one anchor."""
+def anchors(hashes: np.ndarray, sizes: list[int], width: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(hash of the anchor, first window, windows, document) of each run of windows with one anchor.
+
+    The documents' ``sizes`` words follow one another in ``hashes``; windows are
+    numbered along all of them, and none reaches into the next document.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    keys = rolled(hashes, seed)
-    steps = width - seed + 1
-    least, place = keys[:n].copy(), np.arange(n)
-    for j in range(1, steps):
-        there = keys[j : j + n]
-        lower = there < least
-        np.copyto(least, there, where=lower)
-        place[lower] = np.flatnonzero(lower) + j
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return least[first], first, np.diff(np.concatenate([first, [n]]))
+        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    # Least key of 1, 2, 4, ... places, the first of equal ones; two of them make up a window.
+    least = rolled(hashes, seed)
+    place = np.arange(len(least), dtype=np.int32 if len(least) < 2**31 else np.int64)
+    steps, have = width - seed + 1, 1
+    while have < steps:
+        by = min(have, steps - have)
+        lower = least[by:] < least[:-by]
+        least = np.where(lower, least[by:], least[:-by])
+        place = np.where(lower, place[by:], place[:-by])
+        have += by
+    count = np.array(sizes, np.int64)
+    inside = np.maximum(count - width + 1, 0)
+    doc = np.repeat(np.arange(len(count)), inside)
+    # Windows of a document start at its first word and follow one another.
+    window = np.arange(len(doc)) + np.repeat(np.cumsum(count) - count - (np.cumsum(inside) - inside), inside)
+    least, place = least[window], place[window]
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+    return least[first], window[first], np.diff(np.concatenate([first, [len(place)]])), doc[first]
+
+
+def _chunks(texts: list[bytes], known: Hashes):
+    """(number of the first text, word hashes, sizes) for about ``CHUNK`` words of whole texts at a time."""
+    words: list[bytes] = []
+    sizes: list[int] = []
+    row = 0
+    for text in texts:
+        own = text.split()
+        words += own
+        sizes.append(len(own))
+        if len(words) >= CHUNK:
+            yield row, known.of(words), sizes
+            row += len(sizes)
+            words, sizes = [], []
+    if words:
+        yield row, known.of(words), sizes
 
 
 def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
@@ -71,11 +102,20 @@ def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
     def kernel(batches: Batches) -> Batches:
         known = Hashes()
         for batch in batches:
-            own = [np.unique(anchors(known.of(t.split()), width, seed)[0]) for t in as_bytes(batch.column(0))]
-            every = np.concatenate([np.zeros(0, np.uint64), *own])
-            # Two sightings are as good as many, so a common passage is sent twice per batch.
-            found, n = np.unique(every, return_counts=True)
-            every = np.concatenate([found, found[n > 1]])
+            parts = [np.zeros(0, np.uint64)]
+            for _, hashes, sizes in _chunks(as_bytes(batch.column(0)), known):
+                keys, _, _, doc = anchors(hashes, sizes, width, seed)
+                order = np.argsort(keys, kind="stable")
+                keys, doc = keys[order], doc[order]
+                # Once for each document, and two sightings are as good as many:
+                # a common passage is sent twice.
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+                keys = keys[new]
+                third = np.zeros(len(keys), bool)
+                third[2:] = keys[2:] == keys[:-2]
+                parts.append(keys[~third])
+            every = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["h"])
 
     twice = docs.select("text").mapInArrow(kernel, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -108,33 +148,33 @@ def _asked(docs: DataFrame, marks, width: int, seed: int, seen_limit: int) -> Da
             out = []
             ids = [LAST if d is None else d for d in batch.column(0).to_pylist()]
             k1, k2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for row, text in enumerate(as_bytes(batch.column(3))):
-                hashes = known.of(text.split())
-                keys, first, windows = anchors(hashes, width, seed)
+            for top, hashes, sizes in _chunks(as_bytes(batch.column(3)), known):
+                keys, first, windows, of = anchors(hashes, sizes, width, seed)
                 at = np.flatnonzero(_marked(table, keys))
-                if not len(at):
-                    continue
                 small = hashes.astype(np.uint32).tobytes()
-                doc, own, done, done_n = ids[row], {}, [], []
-                signed = keys.view(np.int64)
-                for h, a, w in zip(signed[at].tolist(), first[at].tolist(), windows[at].tolist(), strict=True):
-                    passage = small[4 * a : 4 * (a + w + width - 1)]
-                    before = seen.get(passage)
-                    if before is not None and before < doc:
-                        done.append(a)
-                        done_n.append(w)
-                        continue
-                    if passage in own:
-                        own[passage][2].append(a)
-                    else:
-                        own[passage] = (h, w, [a])
-                        if len(seen) >= seen_limit:
-                            seen.clear()
-                        seen[passage] = doc
-                for passage, (h, w, starts) in own.items():
-                    out.append((h, doc, k1[row], k2[row], np.array(starts, np.int32).tobytes(), w, passage))
-                if done:
-                    out.append((None, doc, k1[row], k2[row], np.array([done, done_n], np.int32).tobytes(), 0, b""))
+                start = (np.cumsum(sizes) - sizes).tolist()
+                marked = zip(*(c[at].tolist() for c in (of, keys.view(np.int64), first, windows)), strict=True)
+                for number, runs in groupby(marked, key=itemgetter(0)):
+                    row, zero = top + number, start[number]
+                    doc, own, done, done_n = ids[row], {}, [], []
+                    for _, h, a, w in runs:
+                        passage = small[4 * a : 4 * (a + w + width - 1)]
+                        before = seen.get(passage)
+                        if before is not None and before < doc:
+                            done.append(a - zero)
+                            done_n.append(w)
+                            continue
+                        if passage in own:
+                            own[passage][2].append(a - zero)
+                        else:
+                            own[passage] = (h, w, [a - zero])
+                            if len(seen) >= seen_limit:
+                                seen.clear()
+                            seen[passage] = doc
+                    for passage, (h, w, starts) in own.items():
+                        out.append((h, doc, k1[row], k2[row], np.array(starts, np.int32).tobytes(), w, passage))
+                    if done:
+                        out.append((None, doc, k1[row], k2[row], np.array([done, done_n], np.int32).tobytes(), 0, b""))
             yield _batch(out, ASK)
 
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
