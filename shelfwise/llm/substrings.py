@@ -96,6 +96,13 @@ def _chunks(texts: list[bytes], known: Hashes):
         yield row, known.of(words), sizes
 
 
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, each at most twice: two sightings are as good as many."""
+    third = np.zeros(len(keys), bool)
+    third[2:] = keys[2:] == keys[:-2]
+    return keys[~third]
+
+
 def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
     """Bit table of anchors that stand in two documents: 2**bits bits, whatever the corpus."""
 
@@ -107,15 +114,11 @@ def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
                 keys, _, _, doc = anchors(hashes, sizes, width, seed)
                 order = np.argsort(keys, kind="stable")
                 keys, doc = keys[order], doc[order]
-                # Once for each document, and two sightings are as good as many:
-                # a common passage is sent twice.
+                # Once for each document.
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                keys = keys[new]
-                third = np.zeros(len(keys), bool)
-                third[2:] = keys[2:] == keys[:-2]
-                parts.append(keys[~third])
-            every = np.concatenate(parts)
+                parts.append(_twice(keys[new]))
+            every = _twice(np.sort(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["h"])
 
     twice = docs.select("text").mapInArrow(kernel, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
