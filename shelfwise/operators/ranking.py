@@ -13,6 +13,9 @@ from shelfwise.operators.indexing import global_rank
 from shelfwise.schemas import ITEM, USER, check_k
 from shelfwise.settings import cut_lineage
 
+# What an id takes in a task's memory besides its characters.
+ID_BYTES = 64
+
 
 def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates without the (user, item) pairs in ``seen``."""
@@ -100,7 +103,7 @@ def factor_topk(
 ) -> DataFrame:
     """Exact top-k items per user by the dot product of their ``factors`` arrays.
 
-    Item factors of at most ``block_bytes`` go to every task as one numeric block.
+    Item ids and factors of at most ``block_bytes`` go to every task as one block.
     Larger ones are cut into item groups that meet user groups in a shuffle, each
     meeting of bounded size.  Either way a user gets k plus its number of seen
     items per block, enough to rank exactly after the seen pairs are taken out.
@@ -112,11 +115,15 @@ def factor_topk(
         counts = seen.groupBy(USER).agg(F.count("*").alias("n_seen"))
         wanted = users.select(USER, "factors").join(counts, USER, "left").fillna(0, ["n_seen"])
     items = items.select(ITEM, "factors")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("factors")), F.lit(1)).alias("width")).first()
+    size = items.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.max(F.size("factors")), F.lit(1)).alias("width"),
+        F.sum(F.octet_length(ITEM) + ID_BYTES).alias("ids"),
+    ).first()
     schema = f"{USER} string, {ITEM} string, score double"
     if not size["n"]:
         return top_k(users.sparkSession.createDataFrame([], schema), k)
-    if 8 * size["n"] * size["width"] <= block_bytes:
+    if 8 * size["n"] * size["width"] + size["ids"] <= block_bytes:
         sent = users.sparkSession.sparkContext.broadcast(kernels.item_block(items.toArrow()))
         scored = wanted.mapInArrow(kernels.block_scorer(sent, k), schema)
     else:
