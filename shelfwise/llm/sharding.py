@@ -25,6 +25,7 @@ from shelfwise.settings import cut_lineage
 
 PIECES = 1 << 14  # hash ranges of unlinked documents, and of requests per shard / 16
 SLOT_RANGES = 4096
+UNITS = 64  # hash ranges of one text's rows within a shard
 
 
 def _pieces(*columns: str, n: int = PIECES):
@@ -49,8 +50,20 @@ def _granted(asked: DataFrame, loads: np.ndarray, cap: float, shards: int) -> Da
     return asked.join(F.broadcast(kept), ["to", "piece"])
 
 
+def _loads(linked: DataFrame, shards: int) -> np.ndarray:
+    loads = np.zeros(shards)
+    for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect():
+        loads[r["shard"]] = r["b"]
+    return loads
+
+
 def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
-    """(doc_id, size, text_crc32, shard): every row with its shard."""
+    """(doc_id, size, text_crc32, shard): every row with its shard.
+
+    What moves is a unit: the rows of one text, first shard and hash range.  A
+    text has at most ``shards`` * ``UNITS`` of them however many copies it has,
+    and rows meet their unit, not their text, so no join has a hot key.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -58,22 +71,23 @@ def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_key"),
     )
-    spread = F.xxhash64("doc_id", "text_key")
-    rows = cut_lineage(rows.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")))
-    groups = rows.groupBy("text_key").agg(F.count("*").alias("n"), F.sum("size").alias("group_size")).where("n > 1")
-    total = rows.agg(F.sum("size")).first()[0]
+    first = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int")
+    rows = cut_lineage(rows.withColumns({"first": first, "unit": _pieces("text_key", "doc_id", n=UNITS)}))
+    whole = W.partitionBy("text_key")
+    units = rows.groupBy("text_key", "first", "unit").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    units = units.withColumns({"n": F.sum("n").over(whole), "group_size": F.sum("size").over(whole)})
+    units = cut_lineage(units)
+    total = units.agg(F.sum("size")).first()[0]
     if not total:
-        return rows.drop("text_key")
+        return rows.select("doc_id", "size", "text_crc32", F.col("first").alias("shard"))
     cap = total / shards
-    # Small groups move whole; a group too large for that moves document by document.
+    # Small groups move whole; a group too large for that moves unit by unit.
     piece = F.when(F.col("group_size") * 64 <= F.lit(cap), _pieces("text_key", n=PIECES // 16)).otherwise(
-        _pieces("text_key", "doc_id", n=PIECES // 16)
+        _pieces("text_key", "unit", n=PIECES // 16)
     )
-    linked = cut_lineage(rows.join(groups, "text_key").withColumn("piece", piece).drop("n", "group_size"))
+    linked = units.where("n > 1").select("text_key", "first", "unit", "size", F.col("first").alias("shard"), piece.alias("piece"))
     for _ in range(rounds):
-        loads = np.zeros(shards)
-        for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect():
-            loads[r["shard"]] = r["b"]
+        loads = _loads(linked, shards)
         held = linked.groupBy("text_key", "shard").agg(F.sum("size").alias("b"))
         open_shards = [s for s in range(shards) if loads[s] < 0.98 * cap]
         best = (
@@ -93,13 +107,11 @@ def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
             break
         moved = linked.join(yes, ["text_key", "shard", "piece"], "left")
         linked = cut_lineage(
-            moved.select("text_key", "doc_id", "size", "text_crc32", F.coalesce("to", "shard").alias("shard"), "piece")
+            moved.select("text_key", "first", "unit", "size", F.coalesce("to", "shard").alias("shard"), "piece")
         )
-    loads = np.zeros(shards)
-    for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect():
-        loads[r["shard"]] = r["b"]
-    alone = rows.join(groups, "text_key", "left_anti").withColumn("piece", _pieces("doc_id", "text_key"))
-    sums = alone.groupBy("piece").agg(F.sum("size").alias("b")).collect()
+    loads = _loads(linked, shards)
+    alone = units.where("n = 1").groupBy(_pieces("text_key").alias("piece"))
+    sums = alone.agg(F.sum("size").alias("b")).collect()
     heap = [(loads[s], s) for s in range(shards)]
     heapq.heapify(heap)
     home = np.zeros(PIECES, int)
@@ -108,10 +120,9 @@ def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         home[r["piece"]] = s
         heapq.heappush(heap, (load + r["b"], s))
     homes = rows.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(home)], "piece int, home int")
-    columns = ["doc_id", "size", "text_crc32", "shard"]
-    return linked.select(columns).union(
-        alone.join(F.broadcast(homes), "piece").withColumn("shard", F.col("home")).select(columns)
-    )
+    placed = rows.join(linked.select("text_key", "first", "unit", "shard"), ["text_key", "first", "unit"], "left")
+    placed = placed.withColumn("piece", _pieces("text_key")).join(F.broadcast(homes), "piece")
+    return placed.select("doc_id", "size", "text_crc32", F.coalesce("shard", "home").alias("shard"))
 
 
 def slots(placed: DataFrame) -> DataFrame:
