@@ -336,8 +336,18 @@ def main_text(page: str, field: Field) -> str:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE, seed: int = 17) -> Field:
-    taken = pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id", F.lit(seed)), "html").limit(sample)
-    return train([r["html"] for r in taken.select("html").collect()], seed)
+    """Fit on the ``sample`` pages whose ids hash lowest; equal rows count once.
+
+    Pages are picked by hashes alone, so no task holds the html of candidates.
+    """
+    hashed = pages.where(F.length("html") > 0).select(
+        "html", F.xxhash64("page_id", F.lit(seed)).alias("place"), F.xxhash64("page_id", "html").alias("key")
+    )
+    picked = hashed.select("place", "key").distinct().orderBy("place", "key").limit(sample)
+    keys = [r["key"] for r in picked.collect()]
+    found = hashed.where(F.col("key").isin(keys)).groupBy("key").agg(F.first("html").alias("html"))
+    texts = {r["key"]: r["html"] for r in found.collect()}
+    return train([texts[k] for k in keys], seed)
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
