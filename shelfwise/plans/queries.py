@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators import evaluation, interactions, ranking
+from shelfwise.operators.vectors import inner_products, weighted_sums
 from shelfwise.plans.workflow import Config, Sources, assign, prepare, run_comparison
 from shelfwise.schemas import ITEM, RECS, USER, VALUE
 from shelfwise.settings import cut_lineage, scratch_path
@@ -312,6 +314,25 @@ def svd_factors(spark, folder):
     return _svd(spark, folder).factors
 
 
+def svd_gram_check(spark, folder):
+    """Factors by what defines them: V'V is the identity, and V'R'RV is the squared singular values.
+
+    ``residual`` is what V'R'RV has beside them, over the largest.
+    """
+    model = _svd(spark, folder)
+    squares = np.square(model.singular_values)
+    dots = inner_products(model.factors)
+    rebuilt = inner_products(cut_lineage(weighted_sums(_train(spark, folder), model.factors, ITEM, USER)))
+    residuals = (rebuilt - np.diag(squares)) / squares[0]
+    # Adding zero turns a rounded -0.0 into 0.0.
+    rows = [
+        (i, j, round(float(dots[i, j]), 6) + 0.0, round(float(residuals[i, j]), 6) + 0.0)
+        for i in range(len(dots))
+        for j in range(len(dots))
+    ]
+    return spark.createDataFrame(rows, "i long, j long, dot double, residual double")
+
+
 def svd_topk(spark, folder):
     return svd.recommend_svd(_svd(spark, folder), _train(spark, folder), K, collapsed=True)
 
@@ -406,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fm_train,
         fm_topk,
         svd_factors,
+        svd_gram_check,
         svd_topk,
         hit_rate_learned,
         learned_list_check,
