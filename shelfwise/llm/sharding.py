@@ -1,10 +1,18 @@
 """Shards of even size that keep linked documents together: balanced label propagation.
 
-Documents with equal texts are linked.  All start at a shard by hash.  In each
-round a linked document asks for the shard that holds most bytes of its group;
-requests are granted while the shard's linked bytes stay under the mean shard
-size, so no shard can overflow.  Documents without links cut no edge wherever
-they go: they fill what is missing in each shard, largest pieces first.
+Documents with equal texts are linked.  All start at a shard by hash, and each group
+asks for the shard that holds most bytes of it, ties by hash.  What a group leaves is
+free for others, so a shard's load is what it was granted.  A group whose wish is full
+asks on until every group is placed:
+
+1.  Groups over 1 / ``WHOLE`` of the mean shard, largest first, are granted whole to
+    the fullest shard that has room under the mean.  Where none has, a group of up to
+    1 / ``SPLIT`` of the mean goes whole to the emptiest; a larger one waits and is
+    split over the room that is left.
+2.  Smaller groups are never split.  They ask in cells, by wish and hash, and a cell
+    that is refused goes to the emptiest shard.
+3.  Documents without links cut no edge wherever they go: they fill what is missing
+    in each shard, largest pieces first.
 
 Law: `bytes`.  Defined results: a null text has no bytes and size 1, and equals an
 empty text; null ids and repeated rows are placed like any other row; a document
@@ -23,7 +31,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.settings import cut_lineage
 
-PIECES = 1 << 14  # hash ranges of unlinked documents, and of requests per shard / 16
+PIECES = 1 << 14  # hash ranges of unlinked documents
+CELLS = 1 << 10  # hash ranges of small groups with one wish
+WHOLE = 256  # groups above this part of the mean are placed one by one: at most WHOLE a shard
+SPLIT = 64  # groups above this part of the mean may be split
 SLOT_RANGES = 4096
 UNITS = 64  # hash ranges of one text's rows within a shard
 
@@ -32,37 +43,80 @@ def _pieces(*columns: str, n: int = PIECES):
     return F.pmod(F.xxhash64(*columns, F.lit("piece")), F.lit(n)).cast("int")
 
 
-def _granted(asked: DataFrame, loads: np.ndarray, cap: float, shards: int) -> DataFrame:
-    """Rows of ``asked`` (to, piece, size, ...) whose piece fits under ``cap``.
+def _emptiest(room: list[float]) -> int:
+    return max(range(len(room)), key=room.__getitem__)
 
-    The driver sees bytes per (shard, piece): a table of fixed size.
+
+def _place_large(held: list, room: list[float], cap: float) -> tuple[dict[int, int], dict[int, list[list]]]:
+    """Shard of each group of ``held`` (text_key, first, b) that stays whole, and [shard, bytes] of those that do not.
+
+    Lowers ``room``.
+    """
+    groups: dict[int, dict[int, int]] = {}
+    for key, first, b in held:
+        groups.setdefault(key, {})[first] = b
+    homes, split = {}, {}
+
+    def wish(key: int, s: int) -> tuple:
+        return -groups[key].get(s, 0), (key >> s) % 8191, s
+
+    # Rooms below a size sum to less than ``shards`` of it, so fewer groups than that are ever refused.
+    for key in sorted(groups, key=lambda g: (-sum(groups[g].values()), g)):
+        size = sum(groups[key].values())
+        small = size * SPLIT <= cap
+        fits = [s for s in range(len(room)) if room[s] >= size] or ([_emptiest(room)] if small else [])
+        if fits:
+            # What may be refused goes where it leaves most room for others.
+            homes[key] = min(fits, key=lambda s: wish(key, s) if small else (room[s], *wish(key, s)))
+            room[homes[key]] -= size
+        else:
+            split[key] = []
+    for key, parts in split.items():
+        size = sum(groups[key].values())
+        for s in sorted(range(len(room)), key=lambda s: (-room[s], *wish(key, s))):
+            part = max(min(size, room[s]), 0)
+            parts.append([s, part])
+            room[s] -= part
+            size -= part
+    return homes, split
+
+
+def _place_units(units: list, split: dict[int, list[list]], room: list[float]) -> list[tuple[int, int, int, int]]:
+    """(text_key, first, unit, home) of each of ``units`` (text_key, first, unit, size): parts are filled in turn.
+
+    Corrects ``room`` by what units do not divide as the parts ask.
     """
-    ranges = PIECES // 16
-    sums = asked.groupBy("to", "piece").agg(F.sum("size").alias("b")).collect()
-    room = [cap - x for x in loads]
-    yes = np.zeros((shards, ranges), bool)
-    for row in sorted(sums, key=lambda r: (r["to"], r["piece"])):
-        if row["b"] <= room[row["to"]]:
-            room[row["to"]] -= row["b"]
-            yes[row["to"], row["piece"]] = True
-    spark = asked.sparkSession
-    kept = spark.createDataFrame([(int(s), int(p)) for s, p in zip(*np.nonzero(yes))], "to int, piece int")
-    return asked.join(F.broadcast(kept), ["to", "piece"])
-
-
-def _loads(linked: DataFrame, shards: int) -> np.ndarray:
-    loads = np.zeros(shards)
-    for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect():
-        loads[r["shard"]] = r["b"]
-    return loads
-
-
-def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+    for parts in split.values():
+        for s, part in parts:
+            room[s] += part
+    out = []
+    for key, first, unit, size in sorted(units, key=lambda u: (-u[3], u[0], u[1], u[2])):
+        parts = split[key]
+        at = next((p for p in parts if p[1] >= size), None) or max(parts, key=lambda p: p[1])
+        at[1] -= size
+        room[at[0]] -= size
+        out.append((key, first, unit, at[0]))
+    return out
+
+
+def _place_cells(cells: list, room: list[float]) -> list[tuple[int, int, int]]:
+    """(wish, cell, home) of each of ``cells`` (wish, cell, b): its wish while it has room, else the emptiest."""
+    out = []
+    for wish, cell, b in sorted(cells, key=lambda c: (-c[2], c[1], c[0])):
+        home = wish if room[wish] >= b else _emptiest(room)
+        room[home] -= b
+        out.append((wish, cell, home))
+    return out
+
+
+def propagate(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard): every row with its shard.
 
-    What moves is a unit: the rows of one text, first shard and hash range.  A
-    text has at most ``shards`` * ``UNITS`` of them however many copies it has,
-    and rows meet their unit, not their text, so no join has a hot key.
+    The driver sees tables of fixed size: bytes by first shard of at most ``WHOLE`` *
+    ``shards`` large groups, bytes by wish and cell, and the units of groups to split.
+    A unit is the rows of one text, first shard and hash range; a text has at most
+    ``shards`` * ``UNITS`` of them however many copies it has, and rows meet their
+    unit, not their text, so no join has a hot key.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -73,56 +127,53 @@ def propagate(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     )
     first = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int")
     rows = cut_lineage(rows.withColumns({"first": first, "unit": _pieces("text_key", "doc_id", n=UNITS)}))
-    whole = W.partitionBy("text_key")
-    units = rows.groupBy("text_key", "first", "unit").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    spark = rows.sparkSession
+    unit = ["text_key", "first", "unit"]
+    whole, held = W.partitionBy("text_key"), W.partitionBy("text_key", "first")
+    units = rows.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     units = units.withColumns({"n": F.sum("n").over(whole), "group_size": F.sum("size").over(whole)})
-    units = cut_lineage(units)
+    units = units.withColumn("held", F.sum("size").over(held))
+    asks = F.max(F.struct("held", F.xxhash64("text_key", "first"), "first")).over(whole)
+    units = cut_lineage(units.withColumn("wish", asks["first"]).drop("held"))
     total = units.agg(F.sum("size")).first()[0]
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.col("first").alias("shard"))
     cap = total / shards
-    # Small groups move whole; a group too large for that moves unit by unit.
-    piece = F.when(F.col("group_size") * 64 <= F.lit(cap), _pieces("text_key", n=PIECES // 16)).otherwise(
-        _pieces("text_key", "unit", n=PIECES // 16)
-    )
-    linked = units.where("n > 1").select("text_key", "first", "unit", "size", F.col("first").alias("shard"), piece.alias("piece"))
-    for _ in range(rounds):
-        loads = _loads(linked, shards)
-        held = linked.groupBy("text_key", "shard").agg(F.sum("size").alias("b"))
-        open_shards = [s for s in range(shards) if loads[s] < 0.98 * cap]
-        best = (
-            held.where(F.col("shard").isin(open_shards))
-            .groupBy("text_key")
-            .agg(F.max(F.struct("b", (-F.col("shard")).alias("s"))).alias("best"))
-            .select("text_key", (-F.col("best.s")).alias("to"), F.col("best.b").alias("to_b"))
-        )
-        own = held.withColumnRenamed("b", "own_b").join(best, "text_key")
-        # Only towards more of the group; ties go to the smaller shard.
-        better = (F.col("to_b") > F.col("own_b")) | ((F.col("to_b") == F.col("own_b")) & (F.col("to") < F.col("shard")))
-        wanted = own.where(better & (F.col("to") != F.col("shard"))).select("text_key", "shard", "to")
-        asked = linked.join(wanted, ["text_key", "shard"])
-        yes = _granted(asked, loads, cap, shards).select("text_key", "shard", "piece", "to").distinct()
-        yes = cut_lineage(yes)
-        if yes.isEmpty():
-            break
-        moved = linked.join(yes, ["text_key", "shard", "piece"], "left")
-        linked = cut_lineage(
-            moved.select("text_key", "first", "unit", "size", F.coalesce("to", "shard").alias("shard"), "piece")
-        )
-    loads = _loads(linked, shards)
+    room = [cap] * shards
+    large = (F.col("n") > 1) & (F.col("group_size") * WHOLE > F.lit(cap))
+    sizes = units.where(large).groupBy("text_key", "first").agg(F.sum("size").alias("b"))
+    homes, split = _place_large([tuple(r) for r in sizes.collect()], room, cap)
+    torn = []
+    if split:
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in split], "text_key long"))
+        torn = units.where(large).join(keys, "text_key").select(*unit, "size").collect()
+        torn = _place_units([tuple(r) for r in torn], split, room)
+    cell = _pieces("text_key", n=CELLS)
+    small = units.where((F.col("n") > 1) & ~large)
+    cells = small.groupBy("wish", cell.alias("cell")).agg(F.sum("size").alias("b"))
+    cells = _place_cells([tuple(r) for r in cells.collect()], room)
     alone = units.where("n = 1").groupBy(_pieces("text_key").alias("piece"))
     sums = alone.agg(F.sum("size").alias("b")).collect()
-    heap = [(loads[s], s) for s in range(shards)]
+    heap = [(-room[s], s) for s in range(shards)]
     heapq.heapify(heap)
     home = np.zeros(PIECES, int)
     for r in sorted(sums, key=lambda r: (-r["b"], r["piece"])):
         load, s = heapq.heappop(heap)
         home[r["piece"]] = s
         heapq.heappush(heap, (load + r["b"], s))
-    homes = rows.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(home)], "piece int, home int")
-    placed = rows.join(linked.select("text_key", "first", "unit", "shard"), ["text_key", "first", "unit"], "left")
-    placed = placed.withColumn("piece", _pieces("text_key")).join(F.broadcast(homes), "piece")
-    return placed.select("doc_id", "size", "text_crc32", F.coalesce("shard", "home").alias("shard"))
+
+    def homes_of(found: list, schema: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(found, schema))
+
+    wishes = small.select(*unit, "wish", cell.alias("cell"))
+    wishes = wishes.join(homes_of(cells, "wish int, cell int, cell_home int"), ["wish", "cell"])
+    placed = rows.join(wishes.select(*unit, "cell_home"), unit, "left")
+    placed = placed.join(homes_of(list(homes.items()), "text_key long, whole_home int"), "text_key", "left")
+    placed = placed.join(homes_of(torn, "text_key long, first int, unit int, unit_home int"), unit, "left")
+    alone = homes_of([(i, int(x)) for i, x in enumerate(home)], "piece int, home int")
+    placed = placed.withColumn("piece", _pieces("text_key")).join(alone, "piece")
+    shard = F.coalesce("whole_home", "unit_home", "cell_home", "home")
+    return placed.select("doc_id", "size", "text_crc32", shard.alias("shard"))
 
 
 def slots(placed: DataFrame) -> DataFrame:
@@ -140,9 +191,9 @@ def slots(placed: DataFrame) -> DataFrame:
     return numbered.withColumn("slot", (F.col("first") + F.col("k") - 1).cast("long")).drop("r", "k", "first")
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: size, text_crc32, law, shard, slot, grown_shard."""
-    return slots(propagate(docs, shards, rounds)).select(
+    return slots(propagate(docs, shards)).select(
         "doc_id",
         "size",
         "text_crc32",

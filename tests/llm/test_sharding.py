@@ -54,6 +54,32 @@ def test_links_stay_together_and_sizes_even(corpus):
     assert max(hot.values()) > 2 * 1500 / 16
 
 
+def test_copies_stay_whole_where_every_text_has_some(corpus):
+    """Nothing but copies: every shard starts full, so a move needs the room that others leave."""
+    for n, count in ((2, 2400), (8, 8800)):
+        rows = [(i, f"copy {i // n} " * 20, "a") for i in range(count)]
+        got = sharding.shard(corpus(rows)).collect()
+        loads = check(got, [(i, t) for i, t, _ in rows])
+        homes = defaultdict(set)
+        for r in got:
+            homes[r["doc_id"] // n].add(r["shard"])
+        assert all(len(x) == 1 for x in homes.values())
+        assert max(loads.values()) < 1.02 * sum(loads.values()) / 16
+
+
+def test_large_groups_are_split_only_where_no_shard_has_room(corpus):
+    """Sixteen texts fill 0.6 of a shard each; a text over the mean takes as few shards as it can."""
+    rows = [(100 * g + i, f"half {g:02d} " * 20, "a") for g in range(16) for i in range(60)]
+    rows += [(5000 + i, "one hot text " * 20, "a") for i in range(260)]
+    got = sharding.shard(corpus(rows)).collect()
+    loads = check(got, [(i, t) for i, t, _ in rows])
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["doc_id"] // 100 if r["doc_id"] < 5000 else -1].add(r["shard"])
+    assert all(len(homes[g]) == 1 for g in range(16))
+    assert max(loads.values()) < 1.05 * sum(loads.values()) / 16
+
+
 def test_odd_rows_and_empty(corpus, odd_rows):
     check(sharding.shard(corpus(odd_rows)).collect(), [(i, t) for i, t, _ in odd_rows])
     assert sharding.shard(corpus([])).count() == 0
