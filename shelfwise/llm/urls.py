@@ -2,8 +2,8 @@
 
 A rule names a host and the start of a path; it fits the host and all its
 subdomains, and the longest fitting rule decides.  URLs that a rule decides are
-the labelled ones: from a bounded sample of them, by hash, trees are boosted that
-judge the rest.  Features are SQL expressions: length, depth, digit ratio, entropy
+the labelled ones: from a bounded sample of the different ones, by hash, filled up for
+a label that is rare in it, trees are boosted that judge the rest.  Features are SQL expressions: length, depth, digit ratio, entropy
 of the characters, parameter counts, and the smoothed block rate of the host's
 last two labels among the sample.
 
@@ -31,6 +31,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SAMPLE = 4000
+RARE = 20  # a label gets 1 / RARE of the sample, if it has as many URLs
 FEATURES = "length depth digits entropy parameters fragments host_length labels hyphens path_digits suffix_rate".split()
 
 
@@ -98,8 +99,18 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int = 8, s
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": text, "ruled": verdict})
     spark = pages.sparkSession
-    marked = rows.where(F.col("ruled").isNotNull()).select("url", "host", "path", "ruled")
-    taken = marked.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(sample).collect()
+    # Copies of a url count once, or they could fill the sample.
+    marked = rows.where(F.col("ruled").isNotNull()).select("url", "host", "path", "ruled").distinct()
+
+    def first(found: DataFrame, n: int) -> list:
+        return found.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(n).collect()
+
+    taken = first(marked, sample)
+    if len(taken) == sample:
+        for kind in sorted({r[0] for r in rules}):
+            if sum(r["ruled"] == kind for r in taken) < sample // RARE:
+                known = {r["url"] for r in taken}
+                taken += [r for r in first(marked.where(F.col("ruled") == kind), sample // RARE) if r["url"] not in known]
     seen = sorted({r["ruled"] for r in taken})
     if len(seen) < 2:
         rest = F.lit(seen[0] if seen else "allow")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from shelfwise.llm import urls
 
 from .conftest import SF
@@ -53,6 +55,34 @@ def test_learned_verdicts_follow_the_labels(spark):
     assert sum(learned) >= 95 and got[1000]["rule"] is None
 
 
+def test_copies_do_not_change_the_verdicts(spark):
+    """One labelled url repeated more often than the sample is large."""
+    rules = (("block", "org", "/a/"), ("allow", "org", "/b/"))
+    plain = [f"http://h{i % 7}.org/{'a' if i % 2 else 'b'}/{'9' * 12 if i % 2 else 'word'}{i}" for i in range(400)]
+    plain += [f"http://h{i % 7}.edu/c/{'9' * 12 if i % 2 else 'word'}{i}" for i in range(100)]
+
+    def verdicts(found):
+        pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+        return {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, sample=300).collect()}
+
+    before = verdicts(plain)
+    assert set(before.values()) == {"allow", "block"}
+    labelled = spark.createDataFrame([(u,) for u in plain[:400]], "url string")
+    copied = labelled.orderBy(F.xxhash64("url", F.lit(11))).first()["url"]
+    after = verdicts(plain + [copied] * 400)
+    assert {i: after[i] for i in before} == before
+
+
+def test_a_rare_label_is_learned(spark):
+    rules = (("block", "org", "/a/"), ("allow", "org", "/b/"))
+    rows = [f"http://h{i % 7}.org/b/word{i}" for i in range(3000)] + [f"http://h.org/a/{'9' * 12}{i}" for i in range(6)]
+    rows += [f"http://h.edu/c/{'9' * 12}{i}" for i in range(20)] + [f"http://h.edu/c/word{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, sample=120).collect()}
+    assert sum(got[i] == "block" for i in range(3006, 3026)) >= 19
+    assert sum(got[i] == "allow" for i in range(3026, 3046)) >= 19
+
+
 def test_one_label_or_none(spark):
     pages = spark.createDataFrame([(1, "http://x.com/a"), (2, "http://x.org/b"), (None, None)], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()} == {1: "allow", 2: "allow", None: "allow"}
