@@ -15,7 +15,10 @@ shards that can hold them:
     where the matching statistics reach ``width`` are covered, and a passage that
     brings something new is added.  A passage that the sending task has already
     seen whole in a smaller document is covered on the spot, so a passage in a
-    third of all documents reaches its shard a few times per task.
+    third of all documents reaches its shard a few times per task.  An anchor that
+    stands at more than ``CROWD`` places, say of a phrase shorter than a window with
+    other words around each time, is split by the hash of the whole window: its
+    windows go one by one, so such a shard holds one window however many come.
 3.  Covered windows come back by document and the words they cover go.
 
 Windows are judged on the input.  Defined results: a null or empty text has no
@@ -34,6 +37,7 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,7 @@ BITS = 28
 SEEN = 200_000  # passages that one task remembers at a time
 LAST = 2**63 - 1  # order of a null id
 STATES = 100_000  # states of one automaton of a shard
+CROWD = 4_000  # places of an anchor whose passages meet in one shard
 CHUNK = 1 << 16  # words whose anchors are found together
 
 
@@ -96,20 +101,25 @@ def _chunks(texts: list[bytes], known: Hashes):
         yield row, known.of(words), sizes
 
 
-def _twice(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys, each at most twice: two sightings are as good as many."""
-    third = np.zeros(len(keys), bool)
-    third[2:] = keys[2:] == keys[:-2]
-    return keys[~third]
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the sum of each of ``counts``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], *(np.add.reduceat(c[order], first) if len(keys) else c for c in counts)
 
 
-def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
-    """Bit table of anchors that stand in two documents: 2**bits bits, whatever the corpus."""
+COUNTS = "h long, docs long, places long"
+
+
+def _marks(docs: DataFrame, width: int, seed: int, bits: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit table of anchors that stand in two documents: 2**bits bits, whatever the corpus; and
+    the sorted bits of those at more than ``crowd`` places."""
 
     def kernel(batches: Batches) -> Batches:
         known = Hashes()
         for batch in batches:
-            parts = [np.zeros(0, np.uint64)]
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))]
             for _, hashes, sizes in _chunks(as_bytes(batch.column(0)), known):
                 keys, _, _, doc = anchors(hashes, sizes, width, seed)
                 order = np.argsort(keys, kind="stable")
@@ -117,19 +127,29 @@ def _marks(docs: DataFrame, width: int, seed: int, bits: int) -> np.ndarray:
                 # Once for each document.
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                parts.append(_twice(keys[new]))
-            every = _twice(np.sort(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["h"])
-
-    twice = docs.select("text").mapInArrow(kernel, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+                once = np.flatnonzero(new)
+                parts.append((keys[once], np.ones(len(once), int), np.diff(np.append(once, len(keys)))))
+            keys, n, places = _summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(n), pa.array(places)], names=["h", "docs", "places"]
+            )
+
+    found = docs.select("text").mapInArrow(kernel, COUNTS).groupBy("h")
+    twice = found.agg(F.sum("docs").alias("docs"), F.sum("places").alias("places")).where("docs > 1")
     mask = (1 << (bits - 6)) - 1
     words = twice.select(
-        F.expr(f"shiftrightunsigned(h, 6) & {mask}L").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")
+        F.expr(f"shiftrightunsigned(h, 6) & {mask}L").alias("w"),
+        F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"),
+        (F.col("places") > crowd).alias("crowded"),
     )
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    crowded = F.coalesce(F.bit_or(F.when(F.col("crowded"), F.col("b"))), F.lit(0))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b"), crowded.alias("c")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return table.view(np.uint64)
+    full = rows.filter(pc.not_equal(rows.column("c"), 0))
+    there, many = full.column("w").to_numpy().astype(np.uint64), full.column("c").to_numpy().view(np.uint64)
+    hot = [(there << np.uint64(6) | np.uint64(i))[(many >> np.uint64(i)) & np.uint64(1) == 1] for i in range(64)]
+    return table.view(np.uint64), np.sort(np.concatenate(hot))
 
 
 def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -137,6 +157,19 @@ def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[word] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _parted(keys: np.ndarray, first: np.ndarray, windows: np.ndarray, of: np.ndarray, many: np.ndarray, whole):
+    """The runs, those of ``many`` taken apart: each of their windows under its own hash of ``whole()``."""
+    if not many.any():
+        return keys, first, windows, of
+    times = np.where(many, windows, 1)
+    run = np.repeat(np.arange(len(keys)), times)
+    first = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+    many = many[run]
+    keys = keys[run]
+    keys[many] = whole()[first[many]]
+    return keys, first, np.where(many, 1, windows[run]), of[run]
+
+
 ASK = "h long, doc long, k1 long, k2 long, starts binary, n int, words binary"
 
 
@@ -145,7 +178,8 @@ def _asked(docs: DataFrame, marks, width: int, seed: int, seen_limit: int) -> Da
     k1, k2 = row_key()
 
     def kernel(batches: Batches) -> Batches:
-        known, table = Hashes(), marks.value
+        known, (table, hot) = Hashes(), marks.value
+        low = np.uint64(64 * len(table) - 1)
         seen: dict[bytes, int] = {}
         for batch in batches:
             out = []
@@ -154,9 +188,13 @@ def _asked(docs: DataFrame, marks, width: int, seed: int, seen_limit: int) -> Da
             for top, hashes, sizes in _chunks(as_bytes(batch.column(3)), known):
                 keys, first, windows, of = anchors(hashes, sizes, width, seed)
                 at = np.flatnonzero(_marked(table, keys))
+                keys, first, windows, of = (c[at] for c in (keys, first, windows, of))
+                # Which anchors are crowded is the same in every task; equal windows have equal anchors.
+                many = np.isin(keys & low, hot)
+                keys, first, windows, of = _parted(keys, first, windows, of, many, lambda: rolled(hashes, width))  # noqa: B023
                 small = hashes.astype(np.uint32).tobytes()
                 start = (np.cumsum(sizes) - sizes).tolist()
-                marked = zip(*(c[at].tolist() for c in (of, keys.view(np.int64), first, windows)), strict=True)
+                marked = zip(*(c.tolist() for c in (of, keys.view(np.int64), first, windows)), strict=True)
                 for number, runs in groupby(marked, key=itemgetter(0)):
                     row, zero = top + number, start[number]
                     doc, own, done, done_n = ids[row], {}, [], []
@@ -276,10 +314,10 @@ def _answers(asked: DataFrame, width: int) -> DataFrame:
 
 
 def covered_windows(
-    docs: DataFrame, width: int = WIDTH, seed: int = SEED, bits: int = BITS, seen: int = SEEN
+    docs: DataFrame, width: int = WIDTH, seed: int = SEED, bits: int = BITS, seen: int = SEEN, crowd: int = CROWD
 ) -> DataFrame:
     """(k1, k2, windows): for each row that loses words, lists of (starts, counts) of covered windows."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(docs, width, seed, bits))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(docs, width, seed, bits, crowd))
     asked = cut_lineage(_asked(docs, marks, width, seed, seen))
     at_once = asked.where("h is null").select("k1", "k2", F.col("starts").alias("windows"))
     every = at_once.union(_answers(asked, width))

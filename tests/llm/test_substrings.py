@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import substrings
 from shelfwise.llm.licenses import Automaton
+from shelfwise.llm.tables import Hashes, rolled
 
 from .conftest import SF
 
@@ -71,6 +74,38 @@ def test_table(spark):
     assert report(docs) == expected
 
 
+@pytest.mark.parametrize("settings", [{"crowd": 1}, {"crowd": 3, "bits": 8}, {"crowd": 2, "seen": 1}])
+def test_crowded_anchors_give_the_same(corpus, settings):
+    """As above, with most anchors split by window."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(40)}" for _ in range(40)] for _ in range(8)]
+    rows = [(d // 2, " ".join(rng.choice(base)[rng.randrange(9) :] + rng.choice(base)), "a") for d in range(60)]
+    rows += [(100, "of " * 90, "a"), (None, "of " * 50, "b"), (99, "of " * 13, "b")]
+    assert report(corpus(rows), **settings) == brute([r[:2] for r in rows])
+
+
+def test_a_short_phrase_in_many_documents_does_not_gather(corpus, monkeypatch):
+    """A phrase shorter than a window, other words around it each time: no shard grows with the documents."""
+    rng = random.Random(6)
+    hashes = Hashes()
+    phrases = [[f"p{k}_{i}" for i in range(6)] for k in range(2000)]
+    phrase = min(phrases, key=lambda p: int(rolled(hashes.of([w.encode() for w in p]), 5).min()))
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(d, " ".join(noise(15) + phrase + noise(15)), "a") for d in range(400)]
+    rows += [(1000 + d, rows[d][1] + " end", "a") for d in range(0, 400, 9)]
+    gathered = Counter()
+    asked = substrings._asked
+
+    def watched(*args):
+        out = asked(*args).localCheckpoint()
+        gathered.update({r["h"]: r["n"] for r in out.groupBy("h").agg(F.count_distinct("words").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(substrings, "_asked", watched)
+    assert report(corpus(rows), crowd=50) == brute([r[:2] for r in rows])
+    assert max(n for h, n in gathered.items() if h is not None) <= 50
+
+
 def test_odd_rows_and_texts(corpus, odd_rows):
     assert report(corpus(odd_rows)) == brute([r[:2] for r in odd_rows])
     assert report(corpus([])) == []
