@@ -4,7 +4,8 @@ Of two labelled documents, one of quality 1 is preferred to one of quality 0.
 The score of a document is linear in features of its text; the chance that one
 is preferred is the logistic function of the difference of scores, so the weights
 are those of a logistic loss on feature differences.  The threshold is a quantile
-of the learned scores: the share of label 0 among the labels.  Scores are reported
+of the learned scores of all labelled documents that are not held out: the share of
+label 0 among the labels.  Scores are reported
 on 0 to 1 such that the threshold lies at ``CUT``.
 
 Learning reads a bounded sample of labelled rows (``per_label`` of each label, by
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import Batches, as_bytes, fresh
+from shelfwise.settings import cut_lineage
 
 CUT = 0.3
 PER_LABEL = 2000
@@ -86,10 +88,13 @@ class Ranker:
         z = np.clip((x - self.middle) / self.spread, -6, 6)
         return np.hstack([z, np.abs(z), np.minimum(z * z, 9)])
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.form(x) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(x), 0.5)
-        raw = self.form(x) @ self.weights
+        raw = self.raw(x)
         return 1 / (1 + np.exp(-np.clip(self.scale * (raw - self.threshold) + np.log(CUT / (1 - CUT)), -40, 40)))
 
 
@@ -128,8 +133,27 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _threshold(docs: DataFrame, marked: DataFrame, ranker: Ranker, share: float) -> float:
+    """Middle of the step at the quantile ``share`` of the raw scores of every id in ``marked``.
+
+    Texts are scored where they lie; only ids and scores meet the labels.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    @F.pandas_udf("double")
+    def raw(texts: pd.Series) -> pd.Series:
+        found = [features((t or "").encode()) for t in texts]
+        return pd.Series(shared.value.raw(np.array(found)) if found else np.zeros(0))
+
+    scored = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", raw("text").alias("raw"))
+    scored = cut_lineage(scored.join(marked.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw")))
+    low = scored.agg(F.percentile_approx("raw", share, 100_000)).first()[0]
+    high = scored.where(F.col("raw") > low).agg(F.min("raw")).first()[0]
+    return (low + (low if high is None else high)) / 2
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: int = 7) -> Ranker:
-    """Fit on at most ``per_label`` documents of each label, none of them held out."""
+    """Fit on at most ``per_label`` documents of each label; the threshold is over all. None of them is held out."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -154,7 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
     sample = chosen.select("doc_id", "text", "quality").mapInArrow(kernel, "doc_id long, quality int, x array<double>")
     sample = sample.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     sides = [np.array([r["x"] for r in sorted(sample) if r["quality"] == q]) for q in (1, 0)]
-    return fit_pairs(*sides, share, seed)
+    ranker = fit_pairs(*sides, share, seed)
+    # Where the fit had a sample only, the quantile is taken over all labels.
+    if len(ranker.weights) and max(counts.values()) > per_label:
+        ranker.threshold = _threshold(docs, marked, ranker, share)
+    return ranker
 
 
 def scorer(spark, ranker: Ranker):

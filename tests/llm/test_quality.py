@@ -33,6 +33,18 @@ def test_held_out_labels_are_not_used(spark):
     assert np.allclose(one.weights, two.weights) and one.threshold == two.threshold
 
 
+def test_threshold_covers_all_labels(spark):
+    """However small the sample of the fit, the share of label 0 lies under the threshold."""
+    folder = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for per_label in (5, 12):
+        rows = quality.quality_report(docs, labels, per_label).collect()
+        seen = [(r["predicted"], quality_of[r["doc_id"]]) for r in rows if r["doc_id"] in quality_of and not r["held_out"]]
+        rejected, zeros = (sum(x[i] == 0 for x in seen) for i in (0, 1))
+        assert len(seen) > 100 and abs(rejected - zeros) <= 1
+
+
 def test_weights_rise_with_preference_and_threshold_is_the_quantile():
     rng = np.random.default_rng(4)
     good, bad = rng.normal(1, 1, (900, 3)), rng.normal(-1, 1, (300, 3))
