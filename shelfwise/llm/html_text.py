@@ -38,6 +38,8 @@ INLINE = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg select".split())
+# Without an end tag these reach to the end of the page; the others of RAW hold nothing then.
+TO_END = set("script style title textarea".split())
 # An opening tag of the second kind ends an open element of the first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ASIDE = set("nav header footer aside form menu button dialog head".split())
@@ -86,6 +88,7 @@ def blocks(page: str) -> list[Block]:
                 return
 
     at = 0
+    endless: set[str] = set()  # no end tag follows
     while True:
         m = TAG.search(page, at)
         if m is None:
@@ -108,8 +111,15 @@ def blocks(page: str) -> list[Block]:
             pop_to({name})
             continue
         if name in RAW:
-            end = END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name == "svg" and m.group(3).rstrip().endswith("/"):
+                continue
+            end = None if name in endless else END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in TO_END:
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name in CLOSES:
             pop_to(CLOSES[name], {"ul", "ol", "dl", "table"})

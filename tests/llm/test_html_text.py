@@ -83,3 +83,13 @@ def test_odd_rows(spark):
     got = html_text.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 219_999), (1, 0), (2, 0), (4, 219_999), (4, 219_999)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "tag", ['<svg class="icon"/>', "<svg/>", '<svg viewBox="0 0 1 1" />', "<svg>", "<select>", "<iframe src='x'>", "<noscript>", "<template>"]
+)
+def test_a_tag_without_an_end_takes_nothing_along(tag):
+    assert [b.text for b in html_text.blocks(f"<p>one</p>{tag}<article><p>two</p></article>{tag}<p>three")] == ["one", "two", "three"]
+    closed = "<svg><path d='M0'/>gone</svg>"
+    assert [b.text for b in html_text.blocks(f"<p>one</p><svg />two{closed}<p>three")] == ["one", "two", "three"]
+    assert [b.text for b in html_text.blocks("<p>one</p><script>x = '<p>two</p>'")] == ["one"]
