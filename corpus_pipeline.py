@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold passages of the benchmark."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), short=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ each of which is sent to all tasks and meets every document, so nothing is
 shuffled and no popular passage lands in one task.
 
 Words are runs of letters and digits, lower-cased.  Items with fewer words than
-the window must stand in the document whole and unchanged; items with fewer than
-``least`` words are no evidence.  Defined results: null and empty texts hold
+the window must stand in the document whole, but for at most ``short`` substituted
+words (none by default; the queries allow one), found by masks of their own; items
+with fewer than ``least`` words are no evidence.  Defined results: null and empty texts hold
 nothing, on either side; repeated items are reported once, repeated documents
 once each; null ids are reported as null; empty tables leave everything clean.
 """
@@ -67,15 +68,17 @@ def words_of(text: str | None) -> list[str]:
 class SeedIndex:
     """Sorted hashes of a block of the benchmark, with the item and place of each."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int, substitutions: int, least: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int, substitutions: int, least: int, short: int = 0):
         self.ids = [i for i, _ in items]
-        self.width, self.substitutions = width, substitutions
+        self.width, self.substitutions, self.short = width, substitutions, short
         hashes = Hashes()
         self.words = [hashes.of(words_of(t)) for _, t in items]
         longest = [min(len(w), width) for w in self.words]
-        # One family of masks for whole windows, one plain hash for each shorter length.
+        # One family of masks for whole windows, one for each shorter length.
         self.families = [(width, groups, s) for s, groups in enumerate(kept_groups(width, substitutions))]
-        self.families += [(n, [np.arange(n)], 100 + n) for n in sorted({x for x in longest if least <= x < width})]
+        for n in sorted({x for x in longest if least <= x < width}):
+            masks = kept_groups(n, short) if 0 < short <= n - 2 else [[np.arange(n)]]
+            self.families += [(n, groups, 100 + n + 1000 * s) for s, groups in enumerate(masks)]
         own = {n: [i for i, x in enumerate(longest) if x == n] for n, _, _ in self.families}
         places = {n: [len(self.words[i]) - n + 1 for i in own[n]] for n in own}
         every = {n: [self._keys(self.words[i]) for i in own[n]] for n in own}
@@ -119,7 +122,7 @@ class SeedIndex:
             maybe, doc = maybe[inside], doc[inside]
             low = np.searchsorted(keys, own[maybe], "left")
             high = np.searchsorted(keys, own[maybe], "right")
-            allowed = self.substitutions if n == self.width else 0
+            allowed = self.substitutions if n == self.width else self.short
             hit = np.flatnonzero(high > low)
             first = (maybe - starts[doc])[hit].tolist()
             for p, q, d, a, b in zip(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from shelfwise.llm import decontam
+from shelfwise.llm.queries import op2_decontamination
 
 from .conftest import SF
 
@@ -56,6 +57,20 @@ def test_report_equals_all_windows(spark, corpus):
         assert got == expected
 
 
+def test_short_items_with_one_changed_word(spark, corpus, tmp_path):
+    """The query finds items of 5 to 12 words with one word changed anywhere, not with two."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(4, 13)]
+    docs = []
+    for n, text in items:
+        for changed in [(k,) for k in range(n)] + [(0, n - 1)]:
+            words = [f"new{k}" if k in changed else w for k, w in enumerate(text.split())]
+            docs.append((100 * n + len(docs), "a b " + " ".join(words) + " c", "s"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["item_id"], r["overlap_words"]) for r in op2_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(d, n, n) for d, t, _ in docs for n in range(5, 13) if f"i{n}x" in t and t.count("new") == 1}
+
+
 def test_masks_ignore_any_two_positions():
     masks = [set(m.tolist()) for m in decontam.seeds(13)]
     for a in range(13):
