@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import decontam, html_text, licenses, mixing, quality, sharding, simhash, substrings, urls, vectors
+from shelfwise.llm import (
+    alignment,
+    decontam,
+    fim,
+    html_text,
+    licenses,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    tokenfiles,
+    urls,
+    vectors,
+)
 from shelfwise.llm.tables import table
 
 
@@ -46,6 +60,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark, sf_dir):
+    return tokenfiles.token_report(table(spark, sf_dir, "documents"))
+
+
 MIXING_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -79,6 +105,36 @@ JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 JOIN line l ON s.source IS NOT DISTINCT FROM l.source AND s.doc_id IS NOT DISTINCT FROM l.doc_id
 """
 
+# What is restored is the text itself, so the digest of the text is what it must equal.
+# Lengths that may be missing are doubles here, as Spark hands such columns to pandas.
+FIM_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM units
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1:n], ''), '') AS s
+  FROM placed
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END::DOUBLE AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::DOUBLE AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +146,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_alignment": op12_alignment,
+    "op13_token_files": op13_token_files,
 }
 
-ORACLE_SQL = {"op1_mixing": MIXING_SQL}
+ORACLE_SQL = {"op1_mixing": MIXING_SQL, "op11_fill_in_middle": FIM_SQL}
