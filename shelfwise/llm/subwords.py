@@ -89,7 +89,7 @@ class Kept(dict):
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of byte-level vocabularies: printable bytes are themselves, others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
+    rest = sorted(set(range(256)).difference(own))
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 

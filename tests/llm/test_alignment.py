@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -21,10 +22,15 @@ CHARS = st.sampled_from([*"ab, .\n\t\r'!1é<>|", "  ", "\n\n", " ", "▁", "\x1
 TEXTS = st.lists(CHARS, max_size=25).map("".join)
 
 
+ALPHABET = subwords.byte_alphabet()
+
+
+@cache
 def spelled_a(i):
-    return bytes(subwords.byte_alphabet()[c] for c in A.id_to_token(i))
+    return bytes(ALPHABET[c] for c in A.id_to_token(i))
 
 
+@cache
 def spelled_b(i):
     return bytes([int(B.id_to_piece(i)[3:5], 16)]) if B.is_byte(i) else B.id_to_piece(i).replace("▁", " ").encode()
 
