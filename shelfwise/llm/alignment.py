@@ -38,7 +38,7 @@ from shelfwise.settings import cut_lineage
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 COMMON = 1 << 18
-BLOCK = 1 << 21  # bytes of text that are aligned together
+BLOCK = 1 << 20  # bytes of text that are aligned together
 ROWS = 2_000  # documents in one returned batch
 
 
@@ -55,9 +55,9 @@ class Aligner:
     """Both tokenizers of a task, and the chunks encoded so far."""
 
     def __init__(self, byte_bpe: str, pieces: str):
-        self.a = subwords.byte_level(byte_bpe, special=False)
+        self.a = subwords.byte_level(byte_bpe, special=False, ranks=True)
         self.b = subwords.piece_model(pieces)
-        self.known = subwords.Kept()
+        self.known = subwords.Kept(subwords.KEPT // 2)
         a, b = ([str(i).encode() for i in range(x.size)] for x in (self.a, self.b))
         self.names = Names(
             *(np.array([n + end for n in names], object) for names, end in ((a, b","), (a, b"|"), (b, b","), (b, b";")))
@@ -74,14 +74,9 @@ class Aligner:
         """Encode the chunks that are new; None for those that do not come back byte for byte."""
         new = self.known.missing(parts)
         chunks = [subwords.literal(k) for k in new]
-        found: list[tuple[bytes, bytes] | None] = []
-        for chunk, a, b in zip(chunks, self.a.encoded(chunks), self.b.encoded(chunks), strict=True):
-            same = (
-                b"".join([self.b.tokens[i] for i in b]) == chunk
-                and b"".join([self.a.tokens[i] for i in np.frombuffer(a, self.a.dtype).tolist()]) == chunk
-            )
-            found.append((a, subwords.packed(b, self.b.dtype)) if same else None)
-        self.known.add(new, found)
+        a, b = self.a.encoded(chunks), self.b.encoded(chunks)
+        same = map(all, zip(*(subwords.spelling(chunks, *x) for x in ((a, self.a), (b, self.b))), strict=True))
+        self.known.add(new, [(x, y) if s else None for x, y, s in zip(a, b, same, strict=True)])
 
 
 class Block(NamedTuple):

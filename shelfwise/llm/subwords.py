@@ -15,11 +15,14 @@ before an ASCII one are encoded whole by the byte-level tokenizer.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import sentencepiece
+import tiktoken
 from tokenizers import Tokenizer
 
 # White space that is not ASCII, in UTF-8, before white space that is.
@@ -27,9 +30,13 @@ ODD = re.compile(
     rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\t-\r ]"
 )
 WIDE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Characters whose class may differ between Unicode versions of two libraries.
+BEYOND = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
+# Fixed value: how byte-level vocabularies split a text before merging.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 RUN = 200  # new chunks that are encoded as one text
-KEPT = 96 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
+KEPT = 256 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
 ENTRY = 200  # bytes that one of them takes besides
 
 
@@ -70,13 +77,15 @@ def literal(key: bytes) -> bytes:
 
 
 class Kept(dict):
-    """What a process has found for chunks, up to ``KEPT`` bytes of it."""
+    """What a process has found for chunks, up to ``limit`` bytes of it."""
 
-    size = 0
+    def __init__(self, limit: int = KEPT):
+        super().__init__()
+        self.size, self.limit = 0, limit
 
     def missing(self, parts: list[list[bytes]]) -> list[bytes]:
         """Chunks of ``parts`` that are not here; a full store is emptied first."""
-        if self.size > KEPT:
+        if self.size > self.limit:
             self.clear()
             self.size = 0
         return list(set().union(*parts).difference(self))
@@ -97,14 +106,26 @@ def packed(ids: list[int] | np.ndarray, dtype) -> bytes:
     return np.asarray(ids, dtype).tobytes()
 
 
+def sliced(ids: bytes, ends: np.ndarray, dtype: np.dtype) -> list[bytes]:
+    """Packed ids cut after the given numbers of ids."""
+    at = (ends * dtype.itemsize).tolist()
+    return [ids[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)] if at else []
+
+
 class ByteLevel:
     """A byte-level tokenizer of the tokenizers library; ids are packed little-endian."""
 
-    def __init__(self, path: str, special: bool):
-        """``special``: whether special tokens' strings inside a text are those tokens."""
+    def __init__(self, path: str, special: bool, ranks: bool = False):
+        """``special``: whether special tokens' strings inside a text are those tokens.
+
+        ``ranks``: have tiktoken merge chunks of Latin text, several times as fast, if
+        the file's merges are in the order of its ids, so that both give the same ids.
+        """
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(located(path))
         self.tokenizer.encode_special_tokens = not special
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # chunks are kept here
         alphabet = byte_alphabet()
         added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         named = {i: t for t, i in self.tokenizer.get_vocab().items()}
@@ -116,35 +137,54 @@ class ByteLevel:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.specials = [t for t in added.values()] if special else []
         self.known = Kept()
+        self.ranked = self._ranked(path, added) if ranks and not special else None
+
+    def _ranked(self, path: str, added: dict[int, bytes]) -> tiktoken.Encoding | None:
+        with open(located(path), encoding="utf8") as f:
+            file = json.load(f)
+        merges = [m if isinstance(m, str) else " ".join(m) for m in file["model"]["merges"]]
+        vocabulary = file["model"]["vocab"]
+        first = len(vocabulary) - len(merges)
+        ordered = all(vocabulary.get(m.replace(" ", "", 1)) == first + i for i, m in enumerate(merges))
+        splits = file["pre_tokenizer"] or {}
+        if not ordered or splits.get("type") != "ByteLevel" or not splits.get("use_regex", True) or file["normalizer"]:
+            return None
+        ranks = {t: i for i, t in enumerate(self.tokens) if i not in added and t}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [packed(x.ids, self.dtype) for x in found]
 
+    def runs(self, texts: list[str]) -> bytes:
+        """Packed ids of texts, one after the other."""
+        if self.ranked is None:
+            return b"".join(self.whole(texts))
+        plain = [t for t in texts if not BEYOND.search(t)]
+        if len(plain) < len(texts):
+            return b"".join(self.whole([t])[0] if BEYOND.search(t) else self.runs([t]) for t in texts)
+        found = map(self.ranked.encode_ordinary, plain)
+        return packed(list(chain.from_iterable(found)), self.dtype)
+
     def encoded(self, chunks: list[bytes]) -> list[bytes]:
         """Packed ids of each chunk.
 
         Chunks that begin with white space and end without are encoded many at a
         time as one text, which ends where they end; the others alone.
         """
-        texts = [c.decode() for c in chunks]
-        out: list[bytes | None] = [None] * len(chunks)
-        joins = [
-            i for i, (c, t) in enumerate(zip(chunks, texts, strict=True))
-            if c[:1].isspace() and not c[-1:].isspace() and (c.isascii() or not WIDE.search(t))
-        ]
-        runs = [joins[i : i + RUN] for i in range(0, len(joins), RUN)]
-        for run, ids in zip(runs, self.whole(["".join(texts[i] for i in run) for run in runs]), strict=True):
-            ends = np.cumsum(self.lengths[np.frombuffer(ids, self.dtype)])
-            cuts = np.searchsorted(ends, np.cumsum([len(chunks[i]) for i in run])) + 1
-            at = 0
-            for i, cut in zip(run, cuts.tolist(), strict=True):
-                out[i] = ids[at * self.dtype.itemsize : cut * self.dtype.itemsize]
-                at = cut
-        alone = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(alone, self.whole([texts[i] for i in alone]), strict=True):
-            out[i] = ids
-        return out
+        wide = WIDE.search(b"".join(chunks).decode()) is not None
+        joins = [c for c in chunks if c[0] <= 32 < c[-1] and not (wide and WIDE.search(c.decode()))]
+        alone = chunks if len(joins) < len(chunks) else []
+        ids = self.runs([b"".join(joins[i : i + RUN]).decode() for i in range(0, len(joins), RUN)])
+        ends = np.cumsum(self.lengths[np.frombuffer(ids, self.dtype)])
+        cuts = np.searchsorted(ends, np.cumsum([len(c) for c in joins])) + 1
+        found = sliced(ids, cuts, self.dtype)
+        if alone:
+            known = dict(zip(joins, found, strict=True))
+            rest = [c for c in chunks if c not in known]
+            known.update(zip(rest, self.whole([c.decode() for c in rest]), strict=True))
+            return [known[c] for c in chunks]
+        return found
 
     def direct(self, text: bytes) -> bool:
         """Whether a text must be encoded whole."""
@@ -181,22 +221,38 @@ class PieceModel:
         own = [p for i, p in enumerate(names) if not hidden[i] and not self.model.is_byte(i)]
         self.cuts = not any(re.search("[^▁]▁", p) or len(p) > 1 and re.search(r"[\t-\r ]", p) for p in own)
 
-    def encoded(self, chunks: list[bytes]) -> list[list[int]]:
-        """Ids of each chunk of a text that follows another one, or begins space + text."""
+    def encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of each chunk of a text that follows another one, or begins space + text."""
         spaced = [c[:1] == b" " for c in chunks]
         found = self.model.encode(
             [c[1:].decode() if s else c.decode() for c, s in zip(chunks, spaced, strict=True)], num_threads=1
         )
         # The space that the model puts before a chunk without one is not the text's.
-        return [
+        own = [
             [self.space] if c == b" " else ids if s else ids[1:]
             for c, s, ids in zip(chunks, spaced, found, strict=True)
         ]
+        ids = packed(list(chain.from_iterable(own)), self.dtype)
+        return sliced(ids, np.cumsum([len(x) for x in own], dtype=np.int64), self.dtype)
+
+
+def spelling(chunks: list[bytes], ids: list[bytes], model: ByteLevel | PieceModel) -> list[bool]:
+    """Whether the tokens of each chunk spell it."""
+
+    def spelled(some: list[bytes]) -> bytes:
+        return b"".join(map(model.tokens.__getitem__, np.frombuffer(b"".join(some), model.dtype).tolist()))
+
+    flat = np.frombuffer(b"".join(ids), model.dtype)
+    last = np.cumsum([len(x) // model.dtype.itemsize for x in ids], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(model.lengths[flat])])[last]
+    if np.array_equal(ends, np.cumsum([len(c) for c in chunks])) and spelled(ids) == b"".join(chunks):
+        return [True] * len(chunks)
+    return [spelled([x]) == c for c, x in zip(chunks, ids, strict=True)]
 
 
 @functools.cache
-def byte_level(path: str, special: bool) -> ByteLevel:
-    return ByteLevel(path, special)
+def byte_level(path: str, special: bool, ranks: bool = False) -> ByteLevel:
+    return ByteLevel(path, special, ranks)
 
 
 @functools.cache
