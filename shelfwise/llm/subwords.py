@@ -36,6 +36,7 @@ BEYOND = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 RUN = 200  # new chunks that are encoded as one text
+JOINED = 32  # the same for a piece model
 KEPT = 256 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
 ENTRY = 200  # bytes that one of them takes besides
 
@@ -217,23 +218,42 @@ class PieceModel:
         ]
         self.lengths = np.array([len(t) for t in self.tokens])
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.sizes = self.lengths.tolist()
         self.space = self.model.piece_to_id("▁")
         own = [p for i, p in enumerate(names) if not hidden[i] and not self.model.is_byte(i)]
         self.cuts = not any(re.search("[^▁]▁", p) or len(p) > 1 and re.search(r"[\t-\r ]", p) for p in own)
 
     def encoded(self, chunks: list[bytes]) -> list[bytes]:
-        """Packed ids of each chunk of a text that follows another one, or begins space + text."""
+        """Packed ids of each chunk of a text that follows another one, or begins space + text.
+
+        Chunks that begin with a space and end without are encoded several at a time,
+        where the model allows cuts; runs that do not come back in full, and other
+        chunks, are encoded alone.
+        """
+        step = JOINED if self.cuts else 1
+        joins = [c for c in chunks if c[0] == 32 != c[-1]]
+        runs = [joins[i : i + step] for i in range(0, len(joins), step)]
+        ids = self.model.encode([b"".join(r)[1:].decode() for r in runs], num_threads=1)
+        whole = [sum(map(len, r)) == sum(map(self.sizes.__getitem__, x)) for r, x in zip(runs, ids, strict=True)]
+        joins = list(chain.from_iterable(r for r, w in zip(runs, whole, strict=True) if w))
+        flat = np.array(list(chain.from_iterable(x for x, w in zip(ids, whole, strict=True) if w)), self.dtype)
+        ends = np.cumsum(self.lengths[flat])
+        cuts = np.searchsorted(ends, np.cumsum([len(c) for c in joins])) + 1
+        known = dict(zip(joins, sliced(flat.tobytes(), cuts, self.dtype), strict=True))
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, self._alone(rest), strict=True))
+        return [known[c] for c in chunks]
+
+    def _alone(self, chunks: list[bytes]) -> list[bytes]:
         spaced = [c[:1] == b" " for c in chunks]
         found = self.model.encode(
             [c[1:].decode() if s else c.decode() for c, s in zip(chunks, spaced, strict=True)], num_threads=1
         )
         # The space that the model puts before a chunk without one is not the text's.
-        own = [
-            [self.space] if c == b" " else ids if s else ids[1:]
+        return [
+            packed([self.space] if c == b" " else ids if s else ids[1:], self.dtype)
             for c, s, ids in zip(chunks, spaced, found, strict=True)
         ]
-        ids = packed(list(chain.from_iterable(own)), self.dtype)
-        return sliced(ids, np.cumsum([len(x) for x in own], dtype=np.int64), self.dtype)
 
 
 def spelling(chunks: list[bytes], ids: list[bytes], model: ByteLevel | PieceModel) -> list[bool]:
