@@ -14,8 +14,10 @@ shards that can hold them:
     each is streamed through the suffix automaton of those before it, windows
     where the matching statistics reach ``width`` are covered, and a passage that
     brings something new is added.  A passage that the sending task has already
-    seen whole in a smaller document is covered on the spot, so a passage in a
-    third of all documents reaches its shard a few times per task.  An anchor that
+    seen whole in a smaller document is covered on the spot; the rows of a batch are
+    taken in order of id, so a passage in a third of all documents reaches its shard
+    a few times per batch at most, however the rows lie.  A repeated row asks once
+    per task, and its copies share the answer.  An anchor that
     stands at more than ``CROWD`` places, say of a phrase shorter than a window with
     other words around each time, is split by the hash of the whole window: its
     windows go one by one, so such a shard holds one window however many come.
@@ -38,17 +40,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.licenses import Automaton
 from shelfwise.llm.tables import Batches, Hashes, as_bytes, fresh, rolled, row_key
-from shelfwise.settings import cut_lineage
 
 WIDTH = 13
 SEED = 5
 BITS = 28
-SEEN = 200_000  # passages that one task remembers at a time
+SEEN = 200_000  # passages, and rows, that one task remembers at a time
+BYTES = 8  # of one word in a passage
 LAST = 2**63 - 1  # order of a null id
 STATES = 100_000  # states of one automaton of a shard
 CROWD = 4_000  # places of an anchor whose passages meet in one shard
@@ -174,33 +177,43 @@ ASK = "h long, doc long, k1 long, k2 long, starts binary, n int, words binary"
 
 
 def _asked(docs: DataFrame, marks, width: int, seed: int, seen_limit: int) -> DataFrame:
-    """Passages around marked anchors; h is null for those covered already (``n`` windows from each start)."""
+    """Passages around marked anchors (``n`` windows from each start); those covered already have no words and n = 0."""
     k1, k2 = row_key()
 
     def kernel(batches: Batches) -> Batches:
         known, (table, hot) = Hashes(), marks.value
         low = np.uint64(64 * len(table) - 1)
         seen: dict[bytes, int] = {}
+        rows_seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
             ids = [LAST if d is None else d for d in batch.column(0).to_pylist()]
             k1, k2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for top, hashes, sizes in _chunks(as_bytes(batch.column(3)), known):
+            order = []
+            for row in sorted(range(len(ids)), key=ids.__getitem__):
+                if (k1[row], k2[row]) not in rows_seen:
+                    if len(rows_seen) >= seen_limit:
+                        rows_seen.clear()
+                    rows_seen.add((k1[row], k2[row]))
+                    order.append(row)
+            ids, k1, k2 = ([c[row] for row in order] for c in (ids, k1, k2))
+            for top, hashes, sizes in _chunks(as_bytes(batch.column(3).take(pa.array(order, pa.int64()))), known):
                 keys, first, windows, of = anchors(hashes, sizes, width, seed)
                 at = np.flatnonzero(_marked(table, keys))
                 keys, first, windows, of = (c[at] for c in (keys, first, windows, of))
                 # Which anchors are crowded is the same in every task; equal windows have equal anchors.
                 many = np.isin(keys & low, hot)
                 keys, first, windows, of = _parted(keys, first, windows, of, many, lambda: rolled(hashes, width))  # noqa: B023
-                small = hashes.astype(np.uint32).tobytes()
+                packed = hashes.tobytes()
                 start = (np.cumsum(sizes) - sizes).tolist()
                 marked = zip(*(c.tolist() for c in (of, keys.view(np.int64), first, windows)), strict=True)
                 for number, runs in groupby(marked, key=itemgetter(0)):
                     row, zero = top + number, start[number]
                     doc, own, done, done_n = ids[row], {}, [], []
                     for _, h, a, w in runs:
-                        passage = small[4 * a : 4 * (a + w + width - 1)]
-                        before = seen.get(passage)
+                        passage = packed[BYTES * a : BYTES * (a + w + width - 1)]
+                        name = xxhash.xxh3_128_digest(passage)
+                        before = seen.get(name)
                         if before is not None and before < doc:
                             done.append(a - zero)
                             done_n.append(w)
@@ -211,11 +224,11 @@ def _asked(docs: DataFrame, marks, width: int, seed: int, seen_limit: int) -> Da
                             own[passage] = (h, w, [a - zero])
                             if len(seen) >= seen_limit:
                                 seen.clear()
-                            seen[passage] = doc
+                            seen[name] = doc
                     for passage, (h, w, starts) in own.items():
                         out.append((h, doc, k1[row], k2[row], np.array(starts, np.int32).tobytes(), w, passage))
                     if done:
-                        out.append((None, doc, k1[row], k2[row], np.array([done, done_n], np.int32).tobytes(), 0, b""))
+                        out.append((k2[row], doc, k1[row], k2[row], np.array([done, done_n], np.int32).tobytes(), 0, b""))
             yield _batch(out, ASK)
 
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
@@ -248,15 +261,15 @@ class Passages:
         A passage seen before needs no automaton, so passages wait to be added
         until one comes that was not.
         """
-        n = len(passage) // 4 - self.width + 1
+        n = len(passage) // BYTES - self.width + 1
         if passage in self.whole:
             return np.ones(n, bool)
         for earlier in self.waiting:
             if not self.shards or len(self.shards[-1].length) > STATES:
                 self.shards.append(Automaton())
-            self.shards[-1].add(np.frombuffer(earlier, np.uint32).tolist())
+            self.shards[-1].add(np.frombuffer(earlier, np.uint64).tolist())
         self.waiting.clear()
-        words = np.frombuffer(passage, np.uint32).tolist()
+        words = np.frombuffer(passage, np.uint64).tolist()
         found = np.zeros(n, bool)
         for automaton in self.shards:
             state = matched = 0
@@ -275,7 +288,7 @@ DONE = "k1 long, k2 long, windows binary"
 
 
 def _answers(asked: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, windows): covered (start, count) pairs, from the shards."""
+    """(k1, k2, windows): covered (start, count) pairs, from the shards and from the tasks that asked."""
 
     def rows_of(batches: Batches):
         for batch in batches:
@@ -289,6 +302,9 @@ def _answers(asked: DataFrame, width: int) -> DataFrame:
                 # Rows of one id are judged before any of them is added.
                 fresh_ones = []
                 for _, _, k1, k2, starts, n, passage in same:
+                    if not n:
+                        out.append((k1, k2, starts))
+                        continue
                     if known is None:
                         fresh_ones.append(passage)
                         continue
@@ -300,7 +316,7 @@ def _answers(asked: DataFrame, width: int) -> DataFrame:
                     if hit.any():
                         at = (np.frombuffer(starts, np.int32)[:, None] + np.flatnonzero(hit)).ravel().astype(np.int32)
                         out.append((k1, k2, np.array([at, np.ones_like(at)]).tobytes()))
-                known = known or Passages(width)
+                known = known or (Passages(width) if fresh_ones else None)
                 for passage in fresh_ones:
                     if passage not in known.whole:
                         known.add(passage)
@@ -309,7 +325,7 @@ def _answers(asked: DataFrame, width: int) -> DataFrame:
                 out = []
         yield _batch(out, DONE)
 
-    shards = asked.where("h is not null").repartition("h").sortWithinPartitions("h", "doc")
+    shards = asked.repartition("h").sortWithinPartitions("h", "doc")
     return shards.mapInArrow(kernel, DONE)
 
 
@@ -318,10 +334,9 @@ def covered_windows(
 ) -> DataFrame:
     """(k1, k2, windows): for each row that loses words, lists of (starts, counts) of covered windows."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(docs, width, seed, bits, crowd))
-    asked = cut_lineage(_asked(docs, marks, width, seed, seen))
-    at_once = asked.where("h is null").select("k1", "k2", F.col("starts").alias("windows"))
-    every = at_once.union(_answers(asked, width))
-    return every.groupBy("k1", "k2").agg(F.collect_list("windows").alias("windows"))
+    found = _answers(_asked(docs, marks, width, seed, seen), width)
+    # Copies of a row get the same answers: each is kept once.
+    return found.groupBy("k1", "k2").agg(F.collect_set("windows").alias("windows"))
 
 
 def kept_words(text: bytes, windows: list[bytes] | None, width: int) -> tuple[int, list[bytes]]:
