@@ -216,6 +216,18 @@ _BODIES = {
         FROM interactions LEFT JOIN people_multi USING ("personId")
         WHERE "personId" IN (SELECT "personId" FROM active) GROUP BY 1, 2""",
     "split_assignment": "SELECT * FROM assigned",
+    "split_exact_total": f"""
+        SELECT c.*, CASE WHEN row_number() OVER (PARTITION BY "personId"
+                      ORDER BY md5("personId" || '|' || "contentId" || '|{SEED}'), "contentId")
+                    <= s.whole + CASE WHEN s.place <= s.total - s.given THEN 1 ELSE 0 END
+                  THEN 'test' ELSE 'train' END AS split
+        FROM collapsed c JOIN (
+            SELECT *, sum(whole) OVER () AS given,
+                   row_number() OVER (ORDER BY rest DESC, md5("personId" || '|{SEED}'), "personId") AS place
+            FROM (SELECT "personId", count(*) * t.total // t.n AS whole, count(*) * t.total % t.n AS rest, t.total
+                  FROM collapsed, (SELECT count(*) AS n, CAST(ceil(count(*) * 2 / 10.0) AS BIGINT) AS total
+                                   FROM collapsed) t
+                  GROUP BY "personId", t.total, t.n)) s USING ("personId")""",
     "ground_truth": """
         SELECT a."personId", a.n_train, n.n_test, a.true_train, coalesce(b.true_test, '') AS true_test
         FROM (SELECT "personId", count(*) AS n_train, string_agg("contentId", ',' ORDER BY "contentId") AS true_train
@@ -250,6 +262,10 @@ _BODIES = {
         SELECT m.model, u."personId", least({K}, (SELECT count(*) FROM cat) - count(*)) AS n, true AS ranks_whole,
                true AS scores_fall, 0 AS n_seen
         FROM train u CROSS JOIN (VALUES ('svd'), ('content'), ('fm')) m(model) GROUP BY 1, 2""",
+    "recs_by_model": """
+        SELECT "personId", string_agg("contentId", ',' ORDER BY "rank") AS popularity,
+               coalesce(string_agg("contentId", ',' ORDER BY "rank") FILTER ("rank" <= 3), '') AS top3, '' AS "none"
+        FROM popular_recs GROUP BY 1""",
     "recs_wide": """
         SELECT model, "personId", string_agg("contentId", ',' ORDER BY "rank") AS items
         FROM popular_recs GROUP BY 1, 2""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators import evaluation, interactions, ranking
+from shelfwise.operators.split import exact_split
 from shelfwise.operators.vectors import inner_products, weighted_sums
 from shelfwise.plans.workflow import Config, Sources, assign, prepare, run_comparison
 from shelfwise.schemas import ITEM, RECS, USER, VALUE
@@ -130,6 +131,11 @@ def split_assignment(spark, folder):
     return assign(_read(spark, folder), MIN_ITEMS, 0.2, SEED)
 
 
+def split_exact_total(spark, folder):
+    pairs = interactions.collapse(_read(spark, folder), MIN_ITEMS)
+    return exact_split(pairs, 0.2, SEED)
+
+
 def ground_truth(spark, folder):
     train, test = shared_parts(spark, folder)
     lists = evaluation.truth_lists(train, test)
@@ -195,6 +201,17 @@ def recs_wide(spark, folder):
     return wide.select("model", USER, F.concat_ws(",", "items").alias("items"))
 
 
+def recs_by_model(spark, folder):
+    """A column per model, after one model's lists were written again on their own."""
+    path = scratch_path(spark, "recs")
+    recs = popularity_topk(spark, folder)
+    top = recs.where(F.col("rank") <= 3).withColumn("model", F.lit("top3"))
+    triplets.write_recs(recs.unionByName(recs.where(F.col("rank") == 1).withColumn("model", F.lit("top3"))), path)
+    triplets.replace_recs(top, path)
+    wide = evaluation.recs_by_model(triplets.read_recs(spark, path), [popularity.NAME, "top3", "none"])
+    return wide.select(USER, *(F.concat_ws(",", c).alias(c) for c in (popularity.NAME, "top3", "none")))
+
+
 def hits_per_user(spark, folder):
     train, test = shared_parts(spark, folder)
     found = evaluation.hits_per_user(popularity_topk(spark, folder), train, test, K, [popularity.NAME])
@@ -401,6 +418,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         collapsed_interactions,
         collapsed_with_fanout,
         split_assignment,
+        split_exact_total,
         ground_truth,
         rating_cells,
         catalogue,
@@ -412,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recs_round_trip,
         dropped_rows,
         recs_wide,
+        recs_by_model,
         hits_per_user,
         hit_rate_popularity,
         hit_rate_empty_test,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.schemas import ITEM, TRIPLET, TRIPLET_COLUMNS, USER, VALUE, validate_columns
+from shelfwise.schemas import ITEM, RECS, TRIPLET, TRIPLET_COLUMNS, USER, VALUE, validate_columns
 
 Source = str | DataFrame
 
@@ -114,3 +114,13 @@ def write_recs(recs: DataFrame, path: str) -> str:
     """Write recommendation lists, one folder per model."""
     recs.write.mode("overwrite").partitionBy("model").parquet(path)
     return path
+
+
+def replace_recs(recs: DataFrame, path: str) -> str:
+    """Write the lists of the models in ``recs`` again; the folders of other models stay as they are."""
+    recs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+    return path
+
+
+def read_recs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECS).parquet(path)

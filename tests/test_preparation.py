@@ -2,15 +2,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import pytest
 from helpers import random_ratings, rows
 from pyspark.sql import functions as F
 
 from shelfwise.operators import interactions as ops
-from shelfwise.operators.evaluation import truth, truth_counts, truth_lists
+from shelfwise.operators.evaluation import recs_by_model, truth, truth_counts, truth_lists
 from shelfwise.operators.indexing import cutoff, global_rank, hash_index
-from shelfwise.operators.split import part, stratified_split
+from shelfwise.operators.split import exact_split, part, stratified_split
+from shelfwise.sources import triplets
 
 
 def test_collapse_sums_and_reads_null_as_nothing(ratings):
@@ -54,6 +56,42 @@ def test_split_by_definition_also_for_hot_users(ratings, hot_rows, size):
     assert test == expected_test_rows(data, size, 42)
 
 
+@pytest.mark.parametrize("size", [0.2, 0.37])
+@pytest.mark.parametrize("hot_rows", [None, 7])
+def test_exact_split_shares_the_total_by_largest_remainder(ratings, size, hot_rows):
+    data = random_ratings(5, 23, 15, 0.4, hot_user=4)
+    n = Counter(u for u, _, _ in data)
+    total = math.ceil(round(len(data) * size, 9))
+    want = {u: c * total // len(data) for u, c in n.items()}
+    place = lambda u: (-(n[u] * total % len(data)), int(hashlib.md5(f"{u}|42".encode()).hexdigest()[:15], 16), u)
+    for u in sorted(n, key=place)[: total - sum(want.values())]:
+        want[u] += 1
+    assigned = exact_split(ratings(data), size, 42, hot_rows)
+    test = rows(part(assigned, "test"))
+    assert len(test) == total and Counter(u for u, _, _ in test) == {u: c for u, c in want.items() if c}
+    for u, c in want.items():
+        items = sorted((i for x, i, _ in data if x == u), key=lambda i: (hashlib.md5(f"{u}|{i}|42".encode()).hexdigest(), i))
+        assert {i for x, i, _ in test if x == u} == set(items[:c])
+
+
+def test_exact_split_of_nothing_and_of_whole_shares(ratings):
+    assert exact_split(ratings([])).count() == 0
+    assigned = exact_split(ratings([(u, f"i{k}", 1.0) for u in "ab" for k in range(5)]))
+    assert rows(assigned.groupBy("personId", "split").count()) == [("a", "test", 1), ("a", "train", 4), ("b", "test", 1), ("b", "train", 4)]
+
+
+def test_one_models_lists_are_written_alone(spark, tmp_path):
+    schema = "model string, personId string, rank int, contentId string, score double"
+    one = spark.createDataFrame([("a", "u", 1, "x", 1.0), ("b", "u", 2, "y", 1.0), ("b", "u", 1, "z", 2.0)], schema)
+    path = triplets.write_recs(one, str(tmp_path / "recs"))
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "recs" / "model=a").iterdir()}
+    triplets.replace_recs(spark.createDataFrame([("b", "v", 1, "w", 1.0)], schema), path)
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "recs" / "model=a").iterdir()} == kept
+    wide = recs_by_model(triplets.read_recs(spark, path), ["a", "b", "c"])
+    assert wide.columns == ["personId", "a", "b", "c"]
+    assert rows(wide) == [("u", ["x"], [], []), ("v", [], ["w"], [])]
+
+
 def test_truth_keeps_train_users_only(ratings):
     train = ratings([("u1", "a", 1.0), ("u2", "b", 1.0)])
     test = ratings([("u1", "c", 1.0), ("u3", "d", 1.0)])
