@@ -315,6 +315,15 @@ def content_topk(spark, folder):
     return content.recommend_content(fitted, items, train, K)
 
 
+def content_class_topk(spark, folder):
+    """Values in three bands against pairs without interaction; ranked by the chance of the lowest band."""
+    train, items = _train(spark, folder), _items(spark, folder)
+    fitted = content.fit_content(
+        content.banded(train, [17.0, 34.0]), negative_pairs(spark, folder), items, target="class", seed=SEED
+    )
+    return content.recommend_content(fitted, items, train, K)
+
+
 def fm_train(spark, folder):
     return fm.fm_train(_train(spark, folder), 100_000, SEED)
 
@@ -449,6 +458,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         content_train,
         content_candidates,
         content_topk,
+        content_class_topk,
         fm_train,
         fm_topk,
         fm_blocks_topk,

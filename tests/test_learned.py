@@ -149,6 +149,47 @@ def test_fm_closed_form(ratings):
         assert row["prediction"] == pytest.approx(users[row["personId"]] @ items[row["contentId"]], abs=1e-9)
 
 
+def planted_classes(ratings, spark):
+    """Price decides the value: 1, 3 or 7; pairs without interaction are of items of a fourth price."""
+    rng = np.random.default_rng(3)
+    price = {f"i{i:03d}": float(i % 4) for i in range(80)}
+    value = {0.0: None, 1.0: 1.0, 2.0: 3.0, 3.0: 7.0}
+    data = [(f"u{u}", i, value[p]) for u in range(30) for i, p in price.items() if value[p] and rng.random() < 0.5]
+    negatives = [(f"u{u}", i) for u in range(30) for i, p in price.items() if not value[p] and rng.random() < 0.5]
+    info = [(i, float(rng.random()), p, None) for i, p in price.items()]
+    return (
+        ratings(data),
+        spark.createDataFrame(negatives, "personId string, contentId string"),
+        spark.createDataFrame(info, "contentId string, asset double, price double, category_no bigint"),
+        price,
+    )
+
+
+def test_classes_have_probabilities_of_their_own(ratings, spark):
+    train, negatives, info, price = planted_classes(ratings, spark)
+    model = content.fit_content(train, negatives, info, target="class", trees=5, depth=3)
+    assert model.values == [0.0, 1.0, 3.0, 7.0]
+    rows_ = model.transform(content._assembled(info)).collect()
+    for row in rows_:
+        chances = list(row["probabilities"])
+        assert sum(chances) == pytest.approx(1.0) and min(chances) >= 0
+        assert int(np.argmax(chances)) == int(price[row["contentId"]])
+    # The score is the chance of the second value in order, here 1.
+    scores = {r["contentId"]: r["score"] for r in content.score_items(model, info).collect()}
+    assert scores == {r["contentId"]: pytest.approx(r["probabilities"][1]) for r in rows_}
+    assert min(scores[i] for i, p in price.items() if p == 1) > max(scores[i] for i, p in price.items() if p != 1)
+    first = lists(content.recommend_content(model, info, train, 3))
+    assert all(price[i] == 1 for items in first.values() for i in items)
+
+
+def test_classes_are_bounded_and_banded(ratings, spark):
+    train, negatives, info, _ = planted_classes(ratings, spark)
+    with pytest.raises(ValueError, match="booster"):
+        content.fit_content(train, negatives, info, target="class", most_classes=3)
+    bands = content.banded(ratings([("u", "a", None), ("u", "b", 2.0), ("u", "c", 2.5), ("u", "d", 9.0)]), [2.0, 5.0])
+    assert rows(bands) == [("u", "a", 1.0), ("u", "b", 1.0), ("u", "c", 2.0), ("u", "d", 3.0)]
+
+
 def adam_losses(users, items, labels, start, steps, rate):
     """Full-batch AdamW on dense arrays: the loss before each step, and the parameters after the last."""
     (u, i), b = (start[0].copy(), start[1].copy()), np.zeros(1)
