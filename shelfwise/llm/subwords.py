@@ -21,6 +21,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
@@ -50,14 +52,18 @@ def located(path: str) -> str:
     return public_tokenizers.path(path)
 
 
+def single(text: bytes) -> bool:
+    """Whether ASCII white space in a text is single spaces and line feeds."""
+    return not any(c in text for c in (b"  ", b"\n\n", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c"))
+
+
 def keys(text: bytes) -> list[bytes]:
     """The chunks of a text, each named by a key; `literal` gives a key's bytes.
 
     Single spaces are the rule, so a key stands for itself after one space; a key
     that begins with a line feed is itself, one that begins with a space the rest.
     """
-    plain = b"  " not in text and b"\n\n" not in text and b"\n " not in text and b" \n" not in text
-    if plain and not any(c in text for c in (b"\t", b"\r", b"\x0b", b"\x0c")):
+    if single(text):
         found = text.replace(b"\n", b" \n").split(b" ")
         # Before the first space no space was: an empty first key came from the split.
         if not found[0]:
@@ -113,6 +119,16 @@ def sliced(ids: bytes, ends: np.ndarray, dtype: np.dtype) -> list[bytes]:
     return [ids[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)] if at else []
 
 
+def _strings(column: pa.BinaryArray) -> list[bytes]:
+    """The values of a column without nulls, cut out of its buffer at once."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return []
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    text = data.to_pybytes() if data else b""
+    return [text[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 class ByteLevel:
     """A byte-level tokenizer of the tokenizers library; ids are packed little-endian."""
 
@@ -193,15 +209,48 @@ class ByteLevel:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of whole texts."""
-        direct = [self.direct(t) for t in texts]
-        parts = [[] if d else keys(t) for t, d in zip(texts, direct, strict=True)]
-        new = self.known.missing(parts)
+        out = [b""] * len(texts)
+        plain, other = [], []
+        for i, text in enumerate(texts):
+            if self.direct(text):
+                out[i] = self.whole([text.decode()])[0]
+            else:
+                (plain if single(text) else other).append(i)
+        if other:
+            parts = [keys(texts[i]) for i in other]
+            self._learn(self.known.missing(parts))
+            for i, part in zip(other, parts, strict=True):
+                out[i] = b"".join(map(self.known.__getitem__, part))
+        if plain:
+            for i, ids in zip(plain, self._looked_up([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
         self.known.add(new, self.encoded([literal(k) for k in new]))
-        get = self.known.__getitem__
-        return [
-            self.whole([t.decode()])[0] if d else b"".join(map(get, p))
-            for t, d, p in zip(texts, direct, parts, strict=True)
-        ]
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of texts with single spaces: the first word by itself, the others split and numbered by Arrow."""
+        heads, tails = [], []
+        for text in texts:
+            head, space, tail = text.replace(b"\n", b" \n").partition(b" ")
+            heads.append(b" " + head if head else None)
+            tails.append(tail if space else None)
+        split = pc.split_pattern(pa.array(tails, pa.binary()), b" ")
+        chunks = split.flatten().dictionary_encode()
+        own, place = _strings(chunks.dictionary), chunks.indices.to_numpy()
+        self._learn(self.known.missing([own, [h for h in heads if h]]))
+        found = [self.known[k] for k in own]
+        sizes = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+        counts = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # Each chunk's ids in turn, out of those of the different chunks.
+        starts = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        ids = flat[np.repeat(starts, counts) + np.arange(ends[-1])].tobytes()
+        last = np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        rests = sliced(ids, ends[last], self.dtype)
+        return [self.known[h] + rest if h else rest for h, rest in zip(heads, rests, strict=True)]
 
 
 class PieceModel:

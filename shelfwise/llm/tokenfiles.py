@@ -61,7 +61,8 @@ SAMPLE_CHARS = 8_192  # and the most characters that one of them has
 DICTIONARY = 64 << 10
 LEVEL = 3
 FILE = 256 << 20  # bytes after which a task begins another file
-BLOCK = 4 << 20  # bytes of text that are encoded, or of frames that are read, together
+TEXTS = 16 << 20  # bytes of text that are encoded together
+BLOCK = 4 << 20  # bytes of frames that are read together
 
 
 def opened(folder: str) -> tuple[files.FileSystem, str]:
@@ -97,7 +98,7 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     first = size = 0
     for i, text in enumerate(texts):
         size += len(text)
-        if size >= BLOCK:
+        if size >= TEXTS:
             yield first, i + 1
             first, size = i + 1, 0
     if first < len(texts):
