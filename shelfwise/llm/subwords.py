@@ -39,7 +39,7 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 RUN = 200  # new chunks that are encoded as one text
 JOINED = 32  # the same for a piece model
-KEPT = 256 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
+KEPT = 160 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
 ENTRY = 200  # bytes that one of them takes besides
 
 
