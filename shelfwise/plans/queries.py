@@ -332,12 +332,6 @@ def fm_topk(spark, folder):
     return fm.recommend_fm(fm.fit_fm(fm_train(spark, folder), seed=SEED), _train(spark, folder), K)
 
 
-def fm_blocks_topk(spark, folder):
-    """The same model with its parameters in tables, as it is fitted beyond the driver's limit."""
-    fitted = fm.fit_fm(fm_train(spark, folder), seed=SEED, solver="blocks")
-    return fm.recommend_fm(fitted, _train(spark, folder), K)
-
-
 def _svd(spark, folder) -> svd.SvdModel:
     return svd.fit_svd(_train(spark, folder), 100, collapsed=True, seed=SEED)
 
@@ -461,7 +455,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         content_class_topk,
         fm_train,
         fm_topk,
-        fm_blocks_topk,
         svd_factors,
         svd_gram_check,
         svd_topk,
