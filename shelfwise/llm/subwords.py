@@ -41,6 +41,7 @@ RUN = 200  # new chunks that are encoded as one text
 JOINED = 32  # the same for a piece model
 KEPT = 160 << 20  # bytes of chunks and ids that a process keeps; beyond that it starts anew
 ENTRY = 200  # bytes that one of them takes besides
+TABLE = 64 << 20  # bytes of a table of chunks and ids, which takes some 30 a chunk
 
 
 def located(path: str) -> str:
@@ -102,6 +103,35 @@ class Kept(dict):
         self.size += ENTRY * len(new) + 3 * sum(map(len, new))
 
 
+class Table:
+    """What a process has found for chunks, up to ``limit`` bytes of it, in Arrow and numpy: a few bytes a chunk.
+
+    The ids of chunk i are ``sizes[i]`` ids from ``starts[i]`` on.
+    """
+
+    def __init__(self, limit: int = TABLE):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.ids = pa.array([], pa.binary()), b""
+        self.sizes = self.starts = np.zeros(0, np.int64)
+
+    def places(self, names: pa.BinaryArray) -> pa.Int32Array:
+        """The place of each name; null where it is not here.  A full table is emptied first."""
+        if self.names.nbytes + len(self.ids) + self.sizes.nbytes + self.starts.nbytes > self.limit:
+            self.clear()
+        return pc.index_in(names, value_set=self.names)
+
+    def add(self, new: pa.BinaryArray, sizes: np.ndarray, ids: bytes) -> int:
+        """Keep the chunks ``new``; returns the place of the first."""
+        first = len(self.names)
+        self.names, self.ids = pa.concat_arrays([self.names, new]), self.ids + ids
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        return first
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of byte-level vocabularies: printable bytes are themselves, others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -153,7 +183,7 @@ class ByteLevel:
         self.lengths = np.array([len(t) for t in self.tokens])
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.specials = [t for t in added.values()] if special else []
-        self.known = Kept()
+        self.table = Table()
         self.ranked = self._ranked(path, added) if ranks and not special else None
 
     def _ranked(self, path: str, added: dict[int, bytes]) -> tiktoken.Encoding | None:
@@ -218,39 +248,50 @@ class ByteLevel:
                 (plain if single(text) else other).append(i)
         if other:
             parts = [keys(texts[i]) for i in other]
-            self._learn(self.known.missing(parts))
-            for i, part in zip(other, parts, strict=True):
-                out[i] = b"".join(map(self.known.__getitem__, part))
+            ids, ends = self._gathered(pa.array(list(chain.from_iterable(parts)), pa.binary()))
+            for i, x in zip(other, sliced(ids, ends[np.cumsum([len(p) for p in parts])], self.dtype), strict=True):
+                out[i] = x
         if plain:
-            for i, ids in zip(plain, self._looked_up([texts[i] for i in plain]), strict=True):
-                out[i] = ids
+            for i, x in zip(plain, self._looked_up([texts[i] for i in plain]), strict=True):
+                out[i] = x
         return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        self.known.add(new, self.encoded([literal(k) for k in new]))
+    def _gathered(self, chunks: pa.BinaryArray) -> tuple[bytes, np.ndarray]:
+        """Packed ids of chunks, named by keys, in turn, and the number of ids before each chunk and after the last.
+
+        Different keys are found by Arrow and looked up in the table; new ones are encoded and kept.
+        """
+        named = chunks.dictionary_encode()
+        own, place = named.dictionary, named.indices.to_numpy()
+        found = self.table.places(own)
+        at = found.fill_null(-1).to_numpy()
+        if found.null_count:
+            new = own.filter(found.is_null())
+            ids = self.encoded([literal(k) for k in _strings(new)])
+            sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+            at = np.where(at < 0, self.table.add(new, sizes, b"".join(ids)) + np.cumsum(at < 0) - 1, at)
+        place = at[place]
+        counts = self.table.sizes[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # Each chunk's ids in turn, out of those of the different chunks.
+        starts = self.table.starts[place] - ends[:-1]
+        flat = np.frombuffer(self.table.ids, self.dtype)
+        return flat[np.repeat(starts, counts) + np.arange(ends[-1])].tobytes(), ends
 
     def _looked_up(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of texts with single spaces: the first word by itself, the others split and numbered by Arrow."""
+        """Packed ids of texts with single spaces: the first word by itself, the others split by Arrow."""
         heads, tails = [], []
         for text in texts:
             head, space, tail = text.replace(b"\n", b" \n").partition(b" ")
             heads.append(b" " + head if head else None)
             tails.append(tail if space else None)
         split = pc.split_pattern(pa.array(tails, pa.binary()), b" ")
-        chunks = split.flatten().dictionary_encode()
-        own, place = _strings(chunks.dictionary), chunks.indices.to_numpy()
-        self._learn(self.known.missing([own, [h for h in heads if h]]))
-        found = [self.known[k] for k in own]
-        sizes = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
-        counts = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        # Each chunk's ids in turn, out of those of the different chunks.
-        starts = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        ids = flat[np.repeat(starts, counts) + np.arange(ends[-1])].tobytes()
-        last = np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        rests = sliced(ids, ends[last], self.dtype)
-        return [self.known[h] + rest if h else rest for h, rest in zip(heads, rests, strict=True)]
+        first = pa.array([h for h in heads if h], pa.binary())
+        ids, ends = self._gathered(pa.concat_arrays([first, split.flatten()]))
+        last = len(first) + np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        found = iter(sliced(ids, ends[np.concatenate([np.arange(1, len(first) + 1), last])], self.dtype))
+        begun = [next(found) if h else b"" for h in heads]
+        return [h + rest for h, rest in zip(begun, found, strict=True)]
 
 
 class PieceModel:

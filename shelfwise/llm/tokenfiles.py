@@ -61,7 +61,7 @@ SAMPLE_CHARS = 8_192  # and the most characters that one of them has
 DICTIONARY = 64 << 10
 LEVEL = 3
 FILE = 256 << 20  # bytes after which a task begins another file
-TEXTS = 6 << 20  # bytes of text that are encoded together
+TEXTS = 8 << 20  # bytes of text that are encoded together
 BLOCK = 4 << 20  # bytes of frames that are read together
 
 

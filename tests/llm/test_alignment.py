@@ -78,7 +78,7 @@ def brute(rows):
 @given(st.lists(TEXTS, min_size=1, max_size=4), st.booleans())
 def test_chunks_give_the_ids_of_whole_texts(texts, ranks):
     model = subwords.ByteLevel.__new__(subwords.ByteLevel)
-    model.__dict__.update(subwords.byte_level(alignment.BYTE_BPE, False, ranks).__dict__, known=subwords.Kept())
+    model.__dict__.update(subwords.byte_level(alignment.BYTE_BPE, False, ranks).__dict__, table=subwords.Table())
     assert (model.ranked is not None) == ranks
     got = [np.frombuffer(x, model.dtype).tolist() for x in model.ids([t.encode() for t in texts])]
     assert got == [A.encode(t, add_special_tokens=False).ids for t in texts]
