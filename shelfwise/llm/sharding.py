@@ -1,16 +1,20 @@
 """Shards of even size that keep linked documents together: balanced label propagation.
 
-Documents with equal texts are linked.  All start at a shard by hash, and each group
-asks for the shard that holds most bytes of it, ties by hash.  What a group leaves is
-free for others, so a shard's load is what it was granted.  A group whose wish is full
-asks on until every group is placed:
-
-1.  Groups over 1 / ``WHOLE`` of the mean shard, largest first, are granted whole to
-    the fullest shard that has room under the mean.  Where none has, a group of up to
-    1 / ``SPLIT`` of the mean goes whole to the emptiest; a larger one waits and is
-    split over the room that is left.
-2.  Smaller groups are never split.  They ask in cells, by wish and hash, and a cell
-    that is refused goes to the emptiest shard.
+Documents with equal texts are linked.  Each starts with a shard by hash as its label.
+In every round each group of linked documents that has no shard yet asks for the shard
+most of its bytes are labelled with, among those still open to it; the requests are
+added up in Spark, granted within the room that is left, largest first, and joined to
+the groups, which take the shard as their label.  What a group leaves is free for
+others, so a shard's load is what it was granted.  Refused groups ask again, until a
+round grants nothing.
+
+1.  Groups over 1 / ``WHOLE`` of the mean shard ask one by one, larger ones (by powers
+    of two) before smaller ones, and only where they fit, first where they fill at
+    least half of the room.  Of those that no shard has room for, a group of up to
+    1 / ``SPLIT`` of the mean goes whole to the emptiest; a larger one is split over
+    the room that is left.
+2.  Smaller groups are never split.  They ask in cells, by wish and hash.  A shard that
+    refuses a cell is closed, and cells refused everywhere go to the emptiest shard.
 3.  Documents without links cut no edge wherever they go: they fill what is missing
     in each shard, largest pieces first.
 
@@ -22,6 +26,7 @@ no rows.  Other columns are not used.
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -47,38 +52,17 @@ def _emptiest(room: list[float]) -> int:
     return max(range(len(room)), key=room.__getitem__)
 
 
-def _place_large(held: list, room: list[float], cap: float) -> tuple[dict[int, int], dict[int, list[list]]]:
-    """Shard of each group of ``held`` (text_key, first, b) that stays whole, and [shard, bytes] of those that do not.
-
-    Lowers ``room``.
-    """
-    groups: dict[int, dict[int, int]] = {}
-    for key, first, b in held:
-        groups.setdefault(key, {})[first] = b
-    homes, split = {}, {}
-
-    def wish(key: int, s: int) -> tuple:
-        return -groups[key].get(s, 0), (key >> s) % 8191, s
-
-    # Rooms below a size sum to less than ``shards`` of it, so fewer groups than that are ever refused.
-    for key in sorted(groups, key=lambda g: (-sum(groups[g].values()), g)):
-        size = sum(groups[key].values())
-        small = size * SPLIT <= cap
-        fits = [s for s in range(len(room)) if room[s] >= size] or ([_emptiest(room)] if small else [])
-        if fits:
-            # What may be refused goes where it leaves most room for others.
-            homes[key] = min(fits, key=lambda s: wish(key, s) if small else (room[s], *wish(key, s)))
-            room[homes[key]] -= size
-        else:
-            split[key] = []
-    for key, parts in split.items():
-        size = sum(groups[key].values())
-        for s in sorted(range(len(room)), key=lambda s: (-room[s], *wish(key, s))):
+def _parts(keys: list[tuple[int, int]], room: list[float]) -> dict[int, list[list]]:
+    """[shard, bytes] for each group (text_key, size) that no shard has room for; lowers ``room``."""
+    split = {}
+    for key, size in sorted(keys, key=lambda k: (-k[1], k[0])):
+        parts = split[key] = []
+        for s in sorted(range(len(room)), key=lambda s: (-room[s], (key >> s) % 8191, s)):
             part = max(min(size, room[s]), 0)
             parts.append([s, part])
             room[s] -= part
             size -= part
-    return homes, split
+    return split
 
 
 def _place_units(units: list, split: dict[int, list[list]], room: list[float]) -> list[tuple[int, int, int, int]]:
@@ -99,24 +83,78 @@ def _place_units(units: list, split: dict[int, list[list]], room: list[float]) -
     return out
 
 
-def _place_cells(cells: list, room: list[float]) -> list[tuple[int, int, int]]:
-    """(wish, cell, home) of each of ``cells`` (wish, cell, b): its wish while it has room, else the emptiest."""
-    out = []
-    for wish, cell, b in sorted(cells, key=lambda c: (-c[2], c[1], c[0])):
-        home = wish if room[wish] >= b else _emptiest(room)
-        room[home] -= b
-        out.append((wish, cell, home))
-    return out
+def _granted(requests: list, room: list[float]) -> tuple[list[tuple[int, int]], set[int]]:
+    """(to, cell) of the ``requests`` (to, cell, b) that fit, largest first, and the shards that refused one.
+
+    Lowers ``room``.
+    """
+    yes, full = [], set()
+    for to, cell, b in sorted(requests, key=lambda r: (-r[2], r[1], r[0])):
+        if b <= room[to]:
+            room[to] -= b
+            yes.append((to, cell))
+        else:
+            full.add(to)
+    return yes, full
+
+
+def _wish(room: list[float], need):
+    """The shard a group asks for: most of its bytes, of the shards with room for ``need``; null if there is none."""
+    rooms = F.array(*[F.lit(float(r)) for r in room])
+
+    def offer(s):
+        left = F.element_at(rooms, s + 1)
+        held = F.coalesce(F.element_at("held", s), F.lit(0))
+        return F.struct(
+            (left >= need).alias("fits"), (left < 2 * need).alias("tight"), held, F.xxhash64("text_key", s), s.alias("s")
+        )
+
+    offers = F.transform(F.sequence(F.lit(0), F.lit(len(room) - 1)), offer)
+    return F.array_max(F.filter(offers, lambda o: o["fits"]))["s"]
+
+
+def _rounds(groups: DataFrame, room: list[float], one_by_one: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (text_key, shard) of the groups that were granted a shard, one a round, and the groups refused everywhere.
+
+    ``groups`` has text_key, cell, size, held; groups of one cell and wish are granted together.
+    """
+    spark = groups.sparkSession
+    settled, shown = [], room
+    while True:
+        asking = groups.withColumn("to", _wish(shown, F.col("size") if one_by_one else F.lit(0.0)))
+        requests = asking.where("to is not null").groupBy("to", "cell").agg(F.sum("size").alias("b")).collect()
+        yes, full = _granted([tuple(r) for r in requests], room)
+        if not yes:
+            return settled, groups
+        grants = F.broadcast(spark.createDataFrame([(*r, True) for r in yes], "to int, cell long, granted boolean"))
+        labelled = cut_lineage(asking.join(grants, ["to", "cell"], "left"))
+        settled.append(labelled.where("granted").select("text_key", F.col("to").alias("shard")))
+        groups = labelled.where("granted is null").select("text_key", "cell", "size", "held")
+        if not full and len(yes) == len(requests) and not groups.limit(1).count():
+            return settled, groups
+        # One by one, groups see the room that is left; cells only whether a shard has refused one.
+        shown = room if one_by_one else [-1.0 if s in full or x < 0 else 0.0 for s, x in enumerate(shown)]
+
+
+def _forced(groups: DataFrame, room: list[float]) -> DataFrame:
+    """(text_key, shard) of ``groups``, cell by cell to the emptiest shard; lowers ``room``."""
+    homes = []
+    cells = groups.groupBy("cell").agg(F.sum("size").alias("b")).collect()
+    for cell, b in sorted((tuple(r) for r in cells), key=lambda c: (-c[1], c[0])):
+        homes.append((cell, _emptiest(room)))
+        room[homes[-1][1]] -= b
+    homes = groups.sparkSession.createDataFrame(homes, "cell long, shard int")
+    return groups.join(F.broadcast(homes), "cell").select("text_key", "shard")
 
 
 def propagate(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard): every row with its shard.
 
-    The driver sees tables of fixed size: bytes by first shard of at most ``WHOLE`` *
-    ``shards`` large groups, bytes by wish and cell, and the units of groups to split.
-    A unit is the rows of one text, first shard and hash range; a text has at most
-    ``shards`` * ``UNITS`` of them however many copies it has, and rows meet their
-    unit, not their text, so no join has a hot key.
+    The driver sees tables of fixed size: requests by shard and cell, where a cell is
+    one of at most ``WHOLE`` * ``shards`` large groups or one of ``CELLS`` ranges, and
+    the units of groups to split.  A unit is the rows of one text, first shard and hash
+    range; a text has at most ``shards`` * ``UNITS`` of them however many copies it
+    has, and rows meet their unit, not their text, so no join has a hot key.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -129,30 +167,45 @@ def propagate(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = cut_lineage(rows.withColumns({"first": first, "unit": _pieces("text_key", "doc_id", n=UNITS)}))
     spark = rows.sparkSession
     unit = ["text_key", "first", "unit"]
-    whole, held = W.partitionBy("text_key"), W.partitionBy("text_key", "first")
-    units = rows.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    units = units.withColumns({"n": F.sum("n").over(whole), "group_size": F.sum("size").over(whole)})
-    units = units.withColumn("held", F.sum("size").over(held))
-    asks = F.max(F.struct("held", F.xxhash64("text_key", "first"), "first")).over(whole)
-    units = cut_lineage(units.withColumn("wish", asks["first"]).drop("held"))
-    total = units.agg(F.sum("size")).first()[0]
+    units = cut_lineage(rows.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    held = units.groupBy("text_key", "first").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    groups = held.groupBy("text_key").agg(
+        F.sum("n").alias("n"),
+        F.sum("size").alias("size"),
+        F.map_from_entries(F.collect_list(F.struct("first", "size"))).alias("held"),
+    )
+    groups = cut_lineage(groups)
+    total = groups.agg(F.sum("size")).first()[0]
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.col("first").alias("shard"))
     cap = total / shards
     room = [cap] * shards
-    large = (F.col("n") > 1) & (F.col("group_size") * WHOLE > F.lit(cap))
-    sizes = units.where(large).groupBy("text_key", "first").agg(F.sum("size").alias("b"))
-    homes, split = _place_large([tuple(r) for r in sizes.collect()], room, cap)
+    # Class k: the k-th halving of the mean; groups of the last large class may not be split.
+    level = F.greatest(F.ceil(F.log2(F.lit(cap) / F.col("size"))), F.lit(0)).cast("int")
+    last = (SPLIT - 1).bit_length() + 1
+    kind = F.when(F.col("size") * WHOLE <= F.lit(cap), -1).when(F.col("size") * SPLIT <= F.lit(cap), last)
+    linked = groups.where("n > 1").withColumn("class", kind.otherwise(F.least(level, F.lit(last - 1))))
+    found = {r["class"] for r in linked.select("class").distinct().collect()}
+    large = cut_lineage(linked.where("class >= 0").withColumn("cell", F.col("text_key")).drop("n"))
+    labels, split = [], {}
+    for k in sorted(found - {-1}):
+        settled, refused = _rounds(large.where(F.col("class") == k).drop("class"), room, True)
+        labels += settled
+        if k == last:
+            labels.append(_forced(refused, room))
+        else:
+            split |= {r["text_key"]: r["size"] for r in refused.select("text_key", "size").collect()}
+    parts = _parts(list(split.items()), room)
     torn = []
     if split:
         keys = F.broadcast(spark.createDataFrame([(k,) for k in split], "text_key long"))
-        torn = units.where(large).join(keys, "text_key").select(*unit, "size").collect()
-        torn = _place_units([tuple(r) for r in torn], split, room)
-    cell = _pieces("text_key", n=CELLS)
-    small = units.where((F.col("n") > 1) & ~large)
-    cells = small.groupBy("wish", cell.alias("cell")).agg(F.sum("size").alias("b"))
-    cells = _place_cells([tuple(r) for r in cells.collect()], room)
-    alone = units.where("n = 1").groupBy(_pieces("text_key").alias("piece"))
+        torn = units.join(keys, "text_key").select(*unit, "size").collect()
+        torn = _place_units([tuple(r) for r in torn], parts, room)
+    if -1 in found:
+        small = linked.where("class = -1").withColumn("cell", _pieces("text_key", n=CELLS).cast("long"))
+        settled, refused = _rounds(small.drop("n", "class"), room, False)
+        labels += [*settled, _forced(refused, room)]
+    alone = groups.where("n = 1").groupBy(_pieces("text_key").alias("piece"))
     sums = alone.agg(F.sum("size").alias("b")).collect()
     heap = [(-room[s], s) for s in range(shards)]
     heapq.heapify(heap)
@@ -161,19 +214,13 @@ def propagate(docs: DataFrame, shards: int = 16) -> DataFrame:
         load, s = heapq.heappop(heap)
         home[r["piece"]] = s
         heapq.heappush(heap, (load + r["b"], s))
-
-    def homes_of(found: list, schema: str) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(found, schema))
-
-    wishes = small.select(*unit, "wish", cell.alias("cell"))
-    wishes = wishes.join(homes_of(cells, "wish int, cell int, cell_home int"), ["wish", "cell"])
-    placed = rows.join(wishes.select(*unit, "cell_home"), unit, "left")
-    placed = placed.join(homes_of(list(homes.items()), "text_key long, whole_home int"), "text_key", "left")
-    placed = placed.join(homes_of(torn, "text_key long, first int, unit int, unit_home int"), unit, "left")
-    alone = homes_of([(i, int(x)) for i, x in enumerate(home)], "piece int, home int")
-    placed = placed.withColumn("piece", _pieces("text_key")).join(alone, "piece")
-    shard = F.coalesce("whole_home", "unit_home", "cell_home", "home")
-    return placed.select("doc_id", "size", "text_crc32", shard.alias("shard"))
+    homes = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(home)], "piece int, home int"))
+    moved = spark.createDataFrame(torn, "text_key long, first int, unit int, shard int")
+    if labels:
+        label = functools.reduce(DataFrame.unionByName, labels)
+        moved = moved.unionByName(units.join(label, "text_key").select(*unit, "shard"))
+    placed = rows.join(moved, unit, "left").withColumn("piece", _pieces("text_key")).join(homes, "piece")
+    return placed.select("doc_id", "size", "text_crc32", F.coalesce("shard", "home").alias("shard"))
 
 
 def slots(placed: DataFrame) -> DataFrame:

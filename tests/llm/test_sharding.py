@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,3 +84,39 @@ def test_large_groups_are_split_only_where_no_shard_has_room(corpus):
 def test_odd_rows_and_empty(corpus, odd_rows):
     check(sharding.shard(corpus(odd_rows)).collect(), [(i, t) for i, t, _ in odd_rows])
     assert sharding.shard(corpus([])).count() == 0
+
+
+def greedy_cut(sizes, cap):
+    """Bytes of groups that no shard has room for when they are placed largest first, each where it fits most tightly."""
+    room, cut = [cap] * 16, 0
+    for size in sorted(sizes, reverse=True):
+        fits = [s for s in range(16) if room[s] >= size]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= size
+        else:
+            cut += size
+    return cut
+
+
+def test_cut_is_no_larger_than_that_of_a_greedy_placement(corpus):
+    """Groups of many sizes, plain documents for the rest: what is split is close to what one sweep would split."""
+    rng = random.Random(4)
+    for counts in ([100] * 40, [rng.randrange(5, 160) for _ in range(40)], [400, *[rng.randrange(2, 60) for _ in range(90)]]):
+        rows = [(1000 * g + i, f"group {g:03d} text " * 10, "a") for g, n in enumerate(counts) for i in range(n)]
+        rows += [(10**6 + i, f"plain {i:04d} text " * 10, "a") for i in range(200)]
+        got = sharding.shard(corpus(rows)).collect()
+        loads = check(got, [(i, t) for i, t, _ in rows])
+        homes, size = defaultdict(set), len(rows[0][1]) + 1
+        for r in got:
+            if r["doc_id"] < 10**6:
+                homes[r["doc_id"] // 1000].add(r["shard"])
+        mean = sum(loads.values()) / 16
+        cut = sum(counts[g] * size for g, x in homes.items() if len(x) > 1)
+        assert cut <= greedy_cut([n * size for n in counts], mean) + 0.02 * 16 * mean
+        assert max(loads.values()) <= 1.03 * mean
+
+
+def test_requests_are_granted_largest_first_within_the_room():
+    room = [10.0, 5.0]
+    assert sharding._granted([(0, 1, 4), (0, 2, 7), (1, 1, 5), (0, 3, 3)], room) == ([(0, 2), (1, 1), (0, 3)], {0})
+    assert room == [0.0, 0.0]
