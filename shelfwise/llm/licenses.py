@@ -3,8 +3,9 @@
 The automaton holds the words of all licence templates.  A text is streamed
 through it; at each word the automaton knows the longest run of words that ends
 there and stands in some template.  Runs that cannot grow are cut out as matches,
-matches of one template are chained in order, and the share of the template's
-words that the chain covers is its score.  Words that no template has reset the
+matches of one template that follow each other within ``GAP`` words are chained in
+order to spans, and the share of the template's words that the best span covers is
+its score: scraps strewn over a long text make no span.  Words that no template has reset the
 automaton, so stretches of them are skipped at once.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII after A-Z are lower-cased.
@@ -13,13 +14,13 @@ template's label is given when its chain covers at least ``COVER`` of it.
 
 Defined results: null and empty texts have no words, no labels and score 0;
 first_word and last_word are null where no base phrase stands; repeated rows and
-null ids are scanned like others; an empty table gives no rows.  Only doc_id and
+null ids are scanned like others, texts of any length are streamed whole; an empty
+table gives no rows.  Only doc_id and
 text are read.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -66,6 +67,7 @@ TEMPLATES = {
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 COVER = 0.5
 LONG = 4  # words of the shortest match that a chain uses
+GAP = 64  # words of the text between two matches of one chain, at most
 
 
 class Automaton:
@@ -123,11 +125,11 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str], cover: float = COVER, long: int = LONG):
+    def __init__(self, templates: dict[str, str], phrases: dict[str, str], cover: float = COVER, long: int = LONG, gap: int = GAP):
         self.names = list(templates)
         self.texts = [templates[n].encode().split() for n in self.names]
         self.phrases = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
-        self.cover, self.long = cover, long
+        self.cover, self.long, self.gap = cover, long, gap
         self.automaton = Automaton()
         for i, words in enumerate([*self.texts, *[list(p) for p, _ in self.phrases]]):
             self.automaton.add(words, i)
@@ -162,7 +164,7 @@ class Scanner:
         return found, places
 
     def chains(self, words: list[bytes], found: list) -> list[float]:
-        """For each template, the share of its words that matches in order cover."""
+        """For each template, the share of its words that the best span covers: matches in order, near each other."""
         shares = []
         for template in self.texts:
             spots = {}
@@ -172,15 +174,14 @@ class Scanner:
                 for k in range(len(template) - n + 1):
                     if template[k : k + n] == run:
                         spots[end - n, k] = n
-            # covered[e]: most words a chain covers that ends before word e of the template.
-            covered = np.zeros(len(template) + 1, int)
-            waiting: list = []
+            # (end, end in the template, words covered) of the chains that may go on.
+            near: list[tuple[int, int, int]] = []
+            most = 0
             for (at, k), n in sorted(spots.items()):
-                while waiting and waiting[0][0] <= at:
-                    _, end, score = heapq.heappop(waiting)
-                    covered[end:] = np.maximum(covered[end:], score)
-                heapq.heappush(waiting, (at + n, k + n, int(covered[k]) + n))
-            most = max([int(covered[-1]), *(x[2] for x in waiting)])
+                near = [c for c in near if c[0] >= at - self.gap]
+                score = n + max((c[2] for c in near if c[0] <= at and c[1] <= k), default=0)
+                near.append((at + n, k + n, score))
+                most = max(most, score)
             shares.append(most / max(len(template), 1))
         return shares
 
@@ -205,12 +206,13 @@ def scan(
     phrases: dict[str, str] = PHRASES,
     cover: float = COVER,
     long: int = LONG,
+    gap: int = GAP,
 ) -> DataFrame:
     """One row per document: words, base phrases, labels, score.  Nothing is shuffled.
 
     The templates are configuration: their automaton is built once and sent to the tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, cover, long))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, cover, long, gap))
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 

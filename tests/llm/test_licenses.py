@@ -58,3 +58,41 @@ def test_chain_takes_matches_in_order():
         (b"a b c", 0.0),
     ):
         assert scanner.scan(text)[-1] == share
+
+
+def test_scraps_far_apart_make_no_span(corpus):
+    """Six runs of four words of one notice, 2,000 words apart, are no licence; the same runs side by side are."""
+    words = licenses.TEMPLATES["isc"].split()
+    scraps = [" ".join(words[i : i + 4]) for i in range(0, 36, 6)]
+    rows = [(1, (" filler" * 2000 + " ").join(scraps), "a"), (2, (" filler" * 20 + " ").join(scraps), "a")]
+    rows += [(3, "filler " * 5000 + licenses.TEMPLATES["isc"] + " filler" * 5000 + " " + licenses.TEMPLATES["mit"], "a")]
+    got = {r["doc_id"]: r for r in licenses.scan(corpus(rows)).collect()}
+    assert got[1]["labels"] == "" and got[1]["score"] <= 8 / len(words)
+    assert "isc" in got[2]["labels"].split(",")
+    assert got[3]["labels"] == "isc,mit" and got[3]["score"] == 1
+
+
+def test_spans_against_all_chains():
+    """The best span found word by word equals the best over every sequence of matches that keeps order and gap."""
+    rng = random.Random(3)
+    template = "a b c d e f g h i j"
+    scanner = licenses.Scanner({"t": template}, {"zz yy": "z"}, long=2, gap=3)
+    parts = template.split()
+    for _ in range(300):
+        words = [rng.choice([*parts, "x"]) for _ in range(3)]
+        for _ in range(rng.randrange(1, 5)):
+            i = rng.randrange(8)
+            words += parts[i : i + rng.randrange(2, 5)] + ["x"] * rng.randrange(6)
+        words = [w.encode() for w in words]
+        spots = set()
+        for n, _, end in scanner.matches(words)[0]:
+            run = [w.decode() for w in words[end - n : end]]
+            spots |= {(end - n, k, n) for k in range(len(parts) - n + 1) if parts[k : k + n] == run}
+
+        def longest(spot, spots=spots):
+            at, k, n = spot
+            after = [s for s in spots if at + n <= s[0] <= at + n + 3 and s[1] >= k + n]
+            return n + max(map(longest, after), default=0)
+
+        expected = max(map(longest, spots), default=0) / len(parts)
+        assert scanner.chains(words, scanner.matches(words)[0]) == [expected]
