@@ -6,13 +6,20 @@ its centre is cut into subspaces, each coded by its nearest codeword.  A query
 probes lists, sums table look-ups of squared distances to the codes, and checks
 what passes by exact cosine in double precision.
 
-Nothing near is missed.  Let r be the distance that the cosine allows.  Of two
-vectors within r, the one farther from its own centre is within r of the other's
-distance to the other's centre, so it probes every centre at most r beyond its
-own.  The distance from a query to a code differs from the distance to the vector
-by at most the coding error, which is stored, so the look-ups pass whatever lies
-within r plus that error.  Centres and codewords, fitted on a bounded sample
-(``SAMPLE`` vectors), only decide how much work this is.
+Nothing near is missed.  Let r be the distance that the cosine allows, u a vector
+whose centre is a, and v one whose centre is b.  Across the plane midway between a
+and b, u lies on one side and v on the other; if they are within r, one of them is
+within r / 2 of the plane.  So a vector probes the centres whose plane is at most
+r / 2 away: of 256 centres some ten on the given table, where comparing distances to
+the centres would let 200 through.  The distance from a query to a code differs from
+the distance to the vector by at most the coding error, which is stored, so the
+look-ups pass whatever lies within r plus that error.  Centres and codewords, fitted on a bounded sample
+(``SAMPLE`` vectors), only decide how much work this is; there are as many centres as
+the root of the number of vectors, at most ``CENTRES``.
+
+A pair is found where its smaller name probes, and where only the larger one does,
+there.  So links are added up where they are found, and what leaves a task is a count
+per vector and a tree per group of linked vectors, not the pairs.
 
 Defined results: null, empty and zero vectors and those that hold null or
 non-finite components link with nothing, like vectors with a null label; vectors
@@ -36,7 +43,7 @@ from shelfwise.llm.tables import Batches
 from shelfwise.settings import cut_lineage
 
 SAMPLE = 8192
-CENTRES = 32
+CENTRES = 1024
 SUBSPACES = 8
 CODEWORDS = 64
 ROWS = 1024  # vectors of one packed block
@@ -89,9 +96,11 @@ class Quantiser:
         return home, np.stack([b for b, _ in found], axis=1).astype(np.uint8), error
 
     def probes(self, x: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists each vector must visit."""
-        d = np.sqrt(_distances(x, self.centres))
-        return d <= d.min(axis=1, keepdims=True) + reach + 1e-6
+        """Which lists each vector must visit: those it is within half the reach of."""
+        d = _distances(x, self.centres)
+        home = d.argmin(axis=1)
+        apart = np.sqrt(_distances(self.centres, self.centres))[home]
+        return d - d[np.arange(len(x)), home][:, None] <= reach * apart + 1e-6
 
     def passing(self, query: np.ndarray, home: int, codes: np.ndarray, error: np.ndarray, reach: float) -> np.ndarray:
         """Pairs (query, coded vector) whose table-lookup distance lets them be within reach."""
@@ -122,13 +131,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def fit(units: DataFrame, size: int, sample: int, centres: int, subspaces: int, codewords: int, seed: int) -> Quantiser:
     """Quantiser from at most ``sample`` vectors of one length, by hash order."""
-    taken = units.where(F.size("unit") == size).orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(sample)
+    taken = units.where(F.size("unit") == size).orderBy(F.xxhash64("label", "unit", F.lit(seed)), "rep").limit(sample)
     x = np.array([r["unit"] for r in taken.select("unit").collect()])
     return Quantiser.fit(x, centres, subspaces, codewords, seed)
 
 
+def _joined(i: np.ndarray, j: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Least node that each of ``left`` + ``right`` nodes reaches by the edges (i, left + j)."""
+    least = np.arange(left + right)
+    while True:
+        low = np.minimum(least[i], least[left + j])
+        now = least.copy()
+        np.minimum.at(now, i, low)
+        np.minimum.at(now, left + j, low)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+FOUND = "rep long, other long, links long"
+
+
 def _links(units: DataFrame, quantiser: Quantiser, cosine: float, rows: int) -> DataFrame:
-    """(u, v) with u <> v, both ways round possible: pairs of equal label at ``cosine`` or more."""
+    """Links between vectors of equal label at ``cosine`` or more, as ``FOUND``.
+
+    Rows without ``other`` add up to the links of ``rep``, copies counted; the others
+    say that the two reach each other.
+    """
     spark = units.sparkSession
     shared = spark.sparkContext.broadcast(quantiser)
     reach = math.sqrt(max(2 - 2 * cosine, 0.0))
@@ -143,37 +173,33 @@ def _links(units: DataFrame, quantiser: Quantiser, cosine: float, rows: int) ->
             visits = [pa.array(np.flatnonzero(v).astype(np.int32)) for v in q.probes(x, reach)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    batch.column(2),
+                    *batch.columns,
                     pa.array(home.astype(np.int32)),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(error),
                     pa.array(visits, pa.list_(pa.int32())),
                 ],
-                names=["rep", "label", "unit", "home", "codes", "error", "visits"],
+                names=["rep", "label", "unit", "n", "home", "codes", "error", "visits"],
             )
 
-    schema = "rep long, label string, unit array<double>, home int, codes binary, error double, visits array<int>"
-    placed = cut_lineage(units.select("rep", F.col("label").cast("string"), "unit").mapInArrow(place, schema))
+    schema = "rep long, label string, unit array<double>, n long, home int, codes binary, error double, visits array<int>"
+    placed = cut_lineage(units.select("rep", F.col("label").cast("string"), "unit", "n").mapInArrow(place, schema))
     # Lists in blocks of about ``rows``: a list with many vectors is many blocks.
     sizes = placed.groupBy("label", "home").agg((F.floor(F.count("*") / rows) + 1).cast("int").alias("blocks"))
     lists = (
         placed.join(sizes, ["label", "home"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .groupBy("label", "home", "block")
-        .agg(F.collect_list(F.struct("rep", "unit", "codes", "error")).alias("list"))
-    )
-    asks = placed.select("label", "rep", "unit", F.explode("visits").alias("home")).join(
-        sizes.withColumnRenamed("blocks", "parts"), ["label", "home"]
+        .agg(F.collect_list(F.struct("rep", "unit", "n", "codes", "error", "visits")).alias("list"))
     )
-    asked = placed.select("label", F.explode("visits").alias("home")).groupBy("label", "home")
-    asked = asked.agg((F.floor(F.count("*") / rows) + 1).cast("int").alias("chunks"))
+    visitors = placed.select("label", "rep", "unit", "n", F.col("home").alias("own"), F.explode("visits").alias("home"))
+    asks = visitors.join(sizes.withColumnRenamed("blocks", "parts"), ["label", "home"])
+    asked = visitors.groupBy("label", "home").agg((F.floor(F.count("*") / rows) + 1).cast("int").alias("chunks"))
     asks = (
         asks.join(asked, ["label", "home"])
         .withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
         .groupBy("label", "home", "chunk")
-        .agg(F.collect_list(F.struct("rep", "unit")).alias("asks"))
+        .agg(F.collect_list(F.struct("rep", "unit", "n", "own")).alias("asks"))
     )
     pairs = asks.join(lists, ["label", "home"]).select("home", "asks", "list")
 
@@ -184,18 +210,38 @@ def _links(units: DataFrame, quantiser: Quantiser, cosine: float, rows: int) ->
                 home = batch.column(0)[row].as_py()
                 asks, known = batch.column(1)[row].values, batch.column(2)[row].values
                 x, y = _matrix(asks.field("unit")), _matrix(known.field("unit"))
+                u, v = np.array(asks.field("rep")), np.array(known.field("rep"))
                 codes = np.frombuffer(b"".join(known.field("codes").to_pylist()), np.uint8).reshape(len(y), -1)
-                maybe = q.passing(x, home, codes, np.array(known.field("error")), reach)
-                i, j = np.nonzero(maybe)
-                u, v = np.array(asks.field("rep"))[i], np.array(known.field("rep"))[j]
-                for a in range(0, len(i), 1 << 16):
-                    b = slice(a, a + (1 << 16))
-                    near = np.einsum("ij,ij->i", x[i[b]], y[j[b]]) >= cosine
-                    near &= u[b] != v[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(u[b][near]), pa.array(v[b][near])], names=["u", "v"])
-
-    found = pairs.mapInArrow(search, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+                i, j = np.nonzero(q.passing(x, home, codes, np.array(known.field("error")), reach))
+                # Of two vectors that visit each other's lists the one with the smaller name counts.
+                visits = known.field("visits")
+                back = np.zeros((len(y), len(q.centres)), bool)
+                back[np.repeat(np.arange(len(y)), np.array(visits.value_lengths())), np.array(visits.flatten())] = True
+                mine = (u[i] != v[j]) & ((u[i] < v[j]) | ~back[j, np.array(asks.field("own"))[i]])
+                i, j = i[mine], j[mine]
+                near = [
+                    np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]], y[j[a : a + (1 << 16)]]) >= cosine
+                    for a in range(0, len(i), 1 << 16)
+                ]
+                if not near:
+                    continue
+                near = np.concatenate(near)
+                i, j = i[near], j[near]
+                links = np.zeros(len(u) + len(v), np.int64)
+                np.add.at(links, i, np.array(known.field("n"))[j])
+                np.add.at(links, len(u) + j, np.array(asks.field("n"))[i])
+                names, least = np.concatenate([u, v]), _joined(i, j, len(u), len(v))
+                some, tree = np.flatnonzero(links), np.flatnonzero(least != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([names[some], names[tree]])),
+                        pa.array(np.concatenate([names[some], names[least[tree]]]), mask=np.arange(len(some) + len(tree)) < len(some)),
+                        pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)])),
+                    ],
+                    names=["rep", "other", "links"],
+                )
+
+    return pairs.mapInArrow(search, FOUND)
 
 
 def link_report(
@@ -209,34 +255,35 @@ def link_report(
     seed: int = 5,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
-    usable = cut_lineage(clean(vectors).withColumn("key", F.xxhash64("label", "unit")))
-    # One representative for equal vectors: its name is a hash of label and vector.
-    units = usable.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("unit").alias("unit")
-    )
-    units = cut_lineage(units.withColumnRenamed("key", "rep"))
-    edges = None
-    for size in sorted(r[0] for r in units.select(F.size("unit")).distinct().collect()):
+    usable = cut_lineage(clean(vectors))
+    # One representative for equal vectors of a label, named when its row is written.
+    units = usable.groupBy("label", "unit").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    units = cut_lineage(units.withColumn("rep", F.monotonically_increasing_id()))
+    found = None
+    for size, n in sorted(map(tuple, units.groupBy(F.size("unit")).count().collect())):
         own = units.where(F.size("unit") == size)
-        quantiser = fit(units, size, sample, centres, subspaces, codewords, seed)
-        found = _links(own, quantiser, cosine, rows)
-        edges = found if edges is None else edges.union(found)
+        quantiser = fit(units, size, sample, min(centres, math.isqrt(n) + 1), subspaces, codewords, seed)
+        part = _links(own, quantiser, cosine, rows)
+        found = part if found is None else found.union(part)
     ids = vectors.select(F.col("vec_id").cast("long"))
-    if edges is None:
+    if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    edges = cut_lineage(edges)
-    counts = units.select("rep", "n")
-    both = edges.union(edges.select("v", "u"))
-    linked = both.join(counts, both.v == counts.rep).groupBy("u").agg(F.sum("n").alias("others"))
-    roots = components(edges)
+    found = cut_lineage(found)
+    linked = found.where("other is null").groupBy(F.col("rep").alias("u")).agg(F.sum("links").alias("others"))
+    roots = components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     named = (
-        units.select("rep", "n", "least")
-        .join(linked, F.col("rep") == F.col("u"), "left")
+        units.join(linked, F.col("rep") == F.col("u"), "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("rep", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+        .select(
+            "label",
+            "unit",
+            "least",
+            (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            F.coalesce("root", "rep").alias("root"),
+        )
     )
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root")
-    found = usable.select("vec_id", F.col("key").alias("rep")).join(named.select("rep", "n_links", "component"), "rep")
+    found = usable.join(named.select("label", "unit", "n_links", "component"), ["label", "unit"])
     # Vectors that cannot link are components of their own.
     usable_ids = found.select("vec_id", "n_links", F.col("component").alias("component_id"))
     rest = _unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -80,3 +80,32 @@ def test_lookup_distances_are_within_the_coding_error():
         own = home == h
         near = vectors._distances(x, x[own]) <= 0.6**2
         assert (q.passing(x, h, codes[own], error[own], 0.6) >= near).all()
+
+
+def test_of_two_near_vectors_one_visits_the_other(spark):
+    given = spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()
+    rng = np.random.default_rng(9)
+    x = np.array([r[0] for r in given], float)
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.25 * np.abs(x).mean(), rng.normal(size=(200, x.shape[1]))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reach = math.sqrt(2 - 2 * 0.93)
+    for centres in (2, 24):
+        q = vectors.Quantiser.fit(x, centres, 8, 16, 1)
+        home, visits = q.code(x)[0], q.probes(x, reach)
+        i, j = np.nonzero(x @ x.T >= 0.93)
+        assert len(i) > len(x) and (visits[i, home[j]] | visits[j, home[i]]).all()
+    assert visits.mean() < 0.7
+
+
+def test_a_crowd_leaves_a_task_as_counts_not_pairs(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(k, 1, v.tolist(), 1) for k, v in enumerate(x)], "rep long, label int, unit array<double>, n long")
+    found = vectors._links(units, vectors.Quantiser.fit(x, 4, 4, 16, 1), 0.93, 1024).collect()
+    assert len(found) <= 4 * 4 * 2 * 300
+    links = {}
+    for r in found:
+        if r["other"] is None:
+            links[r["rep"]] = links.get(r["rep"], 0) + r["links"]
+    assert links == {k: 299 for k in range(300)}
