@@ -6,7 +6,8 @@ is preferred is the logistic function of the difference of scores, so the weight
 are those of a logistic loss on feature differences.  The threshold is a quantile
 of the learned scores of all labelled documents that are not held out: the share of
 label 0 among the labels.  Scores are reported
-on 0 to 1 such that the threshold lies at ``CUT``.
+on 0 to 1 such that the threshold lies at ``CUT``.  Each text is read for its features
+once: scores are written, and threshold and verdicts are taken from what is written.
 
 Learning reads a bounded sample of labelled rows (``per_label`` of each label, by
 hash of the id) and never a held-out one; scoring reads every whole text.
@@ -133,27 +134,32 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _threshold(docs: DataFrame, marked: DataFrame, ranker: Ranker, share: float) -> float:
-    """Middle of the step at the quantile ``share`` of the raw scores of every id in ``marked``.
-
-    Texts are scored where they lie; only ids and scores meet the labels.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+def _raw(spark, ranker: Ranker):
+    """Column function: the learned score of a text, before the threshold is known."""
+    shared = spark.sparkContext.broadcast(ranker)
 
     @F.pandas_udf("double")
     def raw(texts: pd.Series) -> pd.Series:
         found = [features((t or "").encode()) for t in texts]
         return pd.Series(shared.value.raw(np.array(found)) if found else np.zeros(0))
 
-    scored = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", raw("text").alias("raw"))
-    scored = cut_lineage(scored.join(marked.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw")))
-    low = scored.agg(F.percentile_approx("raw", share, 100_000)).first()[0]
-    high = scored.where(F.col("raw") > low).agg(F.min("raw")).first()[0]
+    return raw
+
+
+def _threshold(raws: DataFrame, column: str, marked: DataFrame, share: float) -> float:
+    """Middle of the step at the quantile ``share`` of the raw scores of every id in ``marked``."""
+    found = raws.select("doc_id", F.col(column).alias("raw")).join(marked.select("doc_id"), "doc_id")
+    found = cut_lineage(found.groupBy("doc_id").agg(F.min("raw").alias("raw")))
+    low = found.agg(F.percentile_approx("raw", share, 100_000)).first()[0]
+    high = found.where(F.col("raw") > low).agg(F.min("raw")).first()[0]
     return (low + (low if high is None else high)) / 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: int = 7) -> Ranker:
-    """Fit on at most ``per_label`` documents of each label; the threshold is over all. None of them is held out."""
+def _fit(docs: DataFrame, labels: DataFrame, per_label: int, seed: int = 7) -> tuple[Ranker, DataFrame, float]:
+    """Ranker from at most ``per_label`` documents of each label, all labelled ids, and the share of label 0.
+
+    None of the ids is held out.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -178,33 +184,41 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
     sample = chosen.select("doc_id", "text", "quality").mapInArrow(kernel, "doc_id long, quality int, x array<double>")
     sample = sample.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     sides = [np.array([r["x"] for r in sorted(sample) if r["quality"] == q]) for q in (1, 0)]
-    ranker = fit_pairs(*sides, share, seed)
-    # Where the fit had a sample only, the quantile is taken over all labels.
-    if len(ranker.weights) and max(counts.values()) > per_label:
-        ranker.threshold = _threshold(docs, marked, ranker, share)
-    return ranker
+    return fit_pairs(*sides, share, seed), marked, share
 
 
-def scorer(spark, ranker: Ranker):
-    shared = spark.sparkContext.broadcast(ranker)
+def _scored(docs: DataFrame, columns: list, name: str, labels: DataFrame, per_label: int) -> tuple[DataFrame, Ranker]:
+    """``columns`` of ``docs`` and the raw score ``name``, written, and the ranker with the threshold over all labels."""
+    ranker, marked, share = _fit(docs, labels, per_label)
+    if not len(ranker.weights):
+        return docs.select(*columns, F.lit(0.0).alias(name)), ranker
+    raws = cut_lineage(docs.select(*columns, _raw(docs.sparkSession, ranker)("text").alias(name)))
+    ranker.threshold = _threshold(raws, name, marked, share)
+    return raws, ranker
+
+
+def _score(ranker: Ranker, name: str) -> Column:
+    """`Ranker.score` of a written raw score."""
+    if not len(ranker.weights):
+        return F.lit(0.5)
+    x = F.lit(float(ranker.scale)) * (F.col(name) - F.lit(ranker.threshold)) + F.lit(float(np.log(CUT / (1 - CUT))))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(x, F.lit(-40.0)), F.lit(40.0))))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        found = [features((t or "").encode()) for t in texts]
-        return pd.Series(shared.value.score(np.array(found)) if found else np.zeros(0))
 
-    return score
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ranker:
+    """Fit on at most ``per_label`` documents of each label; the threshold is over all labelled ones."""
+    return _scored(docs, ["doc_id"], "raw", labels, per_label)[1]
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    score = scorer(docs.sparkSession, learn(docs, labels, per_label))
-    scored = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
+    raws, ranker = _scored(docs, ["doc_id"], "raw", labels, per_label)
+    scored = raws.select("doc_id", held_out().alias("held_out"), _score(ranker, "raw").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """``docs`` without the rows whose score is under the threshold."""
-    score = scorer(docs.sparkSession, learn(docs, labels, per_label))
     name = fresh(docs, "quality_score")
-    return docs.withColumn(name, score("text")).where(F.col(name) >= CUT).drop(name)
+    raws, ranker = _scored(docs, ["*"], name, labels, per_label)
+    return raws.where(_score(ranker, name) >= CUT).drop(name)
