@@ -7,9 +7,11 @@ some mask, and the hash of the positions left is the same on both sides.  The
 hashes of all masks at all places of the benchmark are joined with those of the
 documents, and each hit is checked word by word.
 
-The benchmark is the query set.  It is taken in blocks of at most ``BLOCK`` words,
-each of which is sent to all tasks and meets every document, so nothing is
-shuffled and no popular passage lands in one task.
+The benchmark is the query set.  It is taken in blocks of about ``BLOCK`` words; each
+is read on its own, sent to all tasks, meets every document and is dropped before the
+next is made, so the driver holds one block whatever the benchmark, no document is
+shuffled and no popular passage lands in one task.  A seed that many items share is
+checked with all of them at once, ``PAIRS`` at a time.
 
 Words are runs of letters and digits, lower-cased.  Items with fewer words than
 the window must stand in the document whole, but for at most ``short`` substituted
@@ -32,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import Batches, Hashes, fresh
+from shelfwise.settings import cut_lineage, scratch_path
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 2_000_000
 CHUNK = 1 << 16  # words of documents that are looked up together
+PAIRS = 1 << 20  # hits of seeds that are checked together
 
 
 def kept_groups(width: int, substitutions: int = 2) -> list[list[np.ndarray]]:
@@ -74,6 +78,8 @@ class SeedIndex:
         hashes = Hashes()
         self.words = [hashes.of(words_of(t)) for _, t in items]
         longest = [min(len(w), width) for w in self.words]
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.base = np.cumsum([0, *map(len, self.words)])
         # One family of masks for whole windows, one for each shorter length.
         self.families = [(width, groups, s) for s, groups in enumerate(kept_groups(width, substitutions))]
         for n in sorted({x for x in longest if least <= x < width}):
@@ -114,27 +120,32 @@ class SeedIndex:
         first words of the document's windows that stand in it."""
         ends = np.cumsum(np.array(sizes, np.int64))
         starts = ends - sizes
-        found: list[dict[int, set[int]]] = [{} for _ in sizes]
+        hits = []
         for (n, _, _), own, (keys, item, at, bits) in zip(self.families, self._keys(words), self.tables, strict=True):
             maybe = np.flatnonzero(bits[own >> np.uint64(44)])
             doc = np.searchsorted(ends, maybe, "right")
             inside = maybe + n <= ends[doc]
             maybe, doc = maybe[inside], doc[inside]
             low = np.searchsorted(keys, own[maybe], "left")
-            high = np.searchsorted(keys, own[maybe], "right")
+            many = np.searchsorted(keys, own[maybe], "right") - low
             allowed = self.substitutions if n == self.width else self.short
-            hit = np.flatnonzero(high > low)
-            first = (maybe - starts[doc])[hit].tolist()
-            for p, q, d, a, b in zip(
-                maybe[hit].tolist(), first, doc[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True
-            ):
-                for k in range(a, b):
-                    i = int(item[k])
-                    if q in found[d].get(i, ()):
-                        continue
-                    there = self.words[i][at[k] : at[k] + n]
-                    if np.count_nonzero(words[p : p + n] != there) <= allowed:
-                        found[d].setdefault(i, set()).add(q)
+            upto = np.cumsum(many)
+            for first in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                pair = np.arange(first, min(first + PAIRS, int(upto[-1])))
+                of = np.searchsorted(upto, pair, "right")
+                k = low[of] + pair - (upto[of] - many[of])
+                p, q = maybe[of], self.base[item[k]] + at[k]
+                differ = np.zeros(len(pair), np.int64)
+                for o in range(n):
+                    differ += words[p + o] != self.flat[q + o]
+                near = differ <= allowed
+                hits.append(np.stack([doc[of], item[k], p - starts[doc[of]]])[:, near])
+                if sum(h.shape[1] for h in hits) > 4 * PAIRS:
+                    hits = [np.unique(np.concatenate(hits, axis=1), axis=1)]
+        found: list[dict[int, set[int]]] = [{} for _ in sizes]
+        if hits:
+            for d, i, q in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
+                found[d].setdefault(i, set()).add(q)
         return found
 
     def leaks_of(self, texts: Iterable[str | None], hashes: Hashes) -> Iterator[dict[int, set[int]]]:
@@ -155,14 +166,21 @@ class SeedIndex:
         return min(len(self.words[item]), self.width)
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK, **settings) -> list[SeedIndex]:
-    """The benchmark's indexes, each over about ``block`` words."""
+def blocks(benchmark: DataFrame, block: int = BLOCK, **settings) -> Iterator[tuple[SeedIndex, bool]]:
+    """The benchmark's indexes, each over about ``block`` words, one after the other; and whether it is the last."""
     settings = {"width": 13, "substitutions": 2, "least": 5} | settings
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     n = words // block + 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [SeedIndex([tuple(r) for r in items.where(part == i).collect()], **settings) for i in range(n)]
+    if n > 1:
+        # A folder for each block, so that a block reads no other.
+        path = scratch_path(benchmark.sparkSession, "blocks")
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("part")
+        items.select("*", part).repartition("part").write.partitionBy("part").parquet(path)
+        items = benchmark.sparkSession.read.schema("item_id long, text string, part long").parquet(path)
+    for i in range(n):
+        own = items.where(F.col("part") == i) if n > 1 else items
+        yield SeedIndex([tuple(r) for r in own.select("item_id", "text").collect()], **settings), i == n - 1
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **settings) -> DataFrame:
@@ -170,8 +188,9 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **set
     out = None
     schema = "doc_id long, item_id long, windows long, overlap_words long, first_word long"
     spark = docs.sparkSession
-    for index in blocks(benchmark, block, **settings):
+    for index, last in blocks(benchmark, block, **settings):
         shared = spark.sparkContext.broadcast(index)
+        del index
 
         def kernel(batches: Batches, shared=shared) -> Batches:
             index, hashes = shared.value, Hashes()
@@ -187,6 +206,9 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **set
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, schema)
+        if not last:
+            part = cut_lineage(part)
+            shared.destroy()
         out = part if out is None else out.union(part)
     return out
 
@@ -202,7 +224,11 @@ def _leaks(shared):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, **settings) -> DataFrame:
     """``docs`` without the rows that leak any item; nothing is shuffled."""
     name = fresh(docs, "leaks")
-    for index in blocks(benchmark, block, **settings):
-        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(index))
-        docs = docs.withColumn(name, leaks("text")).where(~F.col(name)).drop(name)
+    for index, last in blocks(benchmark, block, **settings):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
+        docs = docs.withColumn(name, _leaks(shared)("text")).where(~F.col(name)).drop(name)
+        if not last:
+            docs = cut_lineage(docs)
+            shared.destroy()
     return docs

@@ -96,3 +96,30 @@ def test_odd_rows(spark, corpus, odd_rows):
     assert decontam.drop_leaks(docs, bench).count() == len(odd_rows) - 1
     assert decontam.drop_leaks(docs, bench.limit(0)).count() == len(odd_rows)
     assert decontam.leak_report(corpus([]), bench).count() == 0
+
+
+def test_a_window_that_many_items_share(spark, corpus, monkeypatch):
+    """Hits are checked a few at a time, and the benchmark comes in blocks: every item is found all the same."""
+    monkeypatch.setattr(decontam, "PAIRS", 7)
+    shared = [f"s{k}" for k in range(13)]
+    items = [(n, " ".join([f"a{n}", *shared, f"b{n}"])) for n in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = corpus([(d, " ".join([f"d{d}", *shared, "x", *shared]), "s") for d in range(3)] + [(3, "s0 s1 s2", "s")])
+    index, last = next(decontam.blocks(bench))
+    words = [decontam.words_of(r["text"]) for r in docs.orderBy("doc_id").collect()]
+    found = index.leaks(decontam.Hashes().of(sum(words, [])), [len(w) for w in words])
+    assert last and [len(f) for f in found] == [200, 200, 200, 0]
+    item = decontam.words_of(items[0][1])
+    near = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) <= 2
+    places = [q for q in range(16) if any(near(words[0][q : q + 13], item[k : k + 13]) for k in range(3))]
+    assert {tuple(sorted(own)) for f in found for own in f.values()} == {tuple(places)}
+    made = list(decontam.blocks(bench, 500))
+    assert len(made) == 7 and [x for _, x in made] == [False] * 6 + [True]
+    assert sorted(i for index, _ in made for i in index.ids) == list(range(200))
+    for block in (500, 10**6):
+        rows = decontam.leak_report(docs, bench, block).collect()
+        assert {(r["doc_id"], r["item_id"], r["windows"], r["overlap_words"]) for r in rows} == {
+            (d, n, len(places), len({q + o for q in places for o in range(13)})) for d in range(3) for n in range(200)
+        }
+        assert len(rows) == 600
+    assert [r["doc_id"] for r in decontam.drop_leaks(docs, bench, 500).collect()] == [3]
