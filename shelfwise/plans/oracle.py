@@ -253,6 +253,13 @@ _BODIES = {
         WHERE p.pop_rank <= {K} + s.c AND t."personId" IS NULL""",
     "popularity_topk": "SELECT * FROM popular_recs",
     "recs_round_trip": "SELECT * FROM popular_recs",
+    "load_rejects": """
+        SELECT CASE kind WHEN 0 THEN 'value' WHEN 1 THEN 'fields' WHEN 2 THEN 'id' ELSE 'number' END AS reason, count(*) AS n
+        FROM (SELECT (o_custkey * 31 + l_partkey * 7) % 20 AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey) k
+        WHERE kind < 4 GROUP BY 1""",
+    "load_kept": """
+        SELECT o_custkey::VARCHAR AS "personId", l_partkey::VARCHAR AS "contentId", l_quantity::DOUBLE AS result
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE (o_custkey * 31 + l_partkey * 7) % 20 > 3""",
     "dropped_rows": "SELECT count(*) AS dropped FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 WHERE p_partkey IS NULL",
     "svd_gram_check": """
         SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot, 0.0::DOUBLE AS residual

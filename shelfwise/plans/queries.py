@@ -189,6 +189,34 @@ def recs_round_trip(spark, folder):
     return spark.read.schema(RECS).parquet(path)
 
 
+def _flawed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The interactions as a file in which every fifth row or so is spoilt in one of four ways, scanned."""
+
+    def write() -> str:
+        kind = F.pmod(F.col("row") * 31 + F.col("col") * 7, F.lit(20))
+        data = F.col("data").cast("string")
+        spoilt = views.interactions(spark, folder).select(
+            F.when(kind != 2, F.col("row").cast("string")).alias("row"),
+            F.when(kind == 3, F.concat(F.lit("x"), F.col("col"))).otherwise(F.col("col").cast("string")).alias("col"),
+            F.when(kind == 0, "n/a").when(kind == 1, F.concat(data, F.lit(";1"))).otherwise(data).alias("data"),
+        )
+        path = scratch_path(spark, "flawed")
+        spoilt.write.option("header", True).option("sep", ";").option("quote", "\u0000").csv(path)
+        return path
+
+    return triplets.scan_triplets(spark, _once(spark, folder, "csv:flawed", write), whole_numbers=("col",))
+
+
+def load_rejects(spark, folder):
+    """Rows that the scan puts aside, by reason."""
+    return triplets.reject_counts(_flawed(spark, folder)[1])
+
+
+def load_kept(spark, folder):
+    """What the scan of the same file keeps."""
+    return triplets.read_interactions(spark, _flawed(spark, folder)[0])
+
+
 def dropped_rows(spark, folder):
     """How many interactions ingest leaves out if only parts with an asset have an id."""
     named = views.item_asset(spark, folder).select(F.col("row").alias("known"))
@@ -432,6 +460,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         popularity_topk,
         recs_round_trip,
         dropped_rows,
+        load_rejects,
+        load_kept,
         recs_wide,
         recs_by_model,
         hits_per_user,

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.schemas import ITEM, RECS, TRIPLET, TRIPLET_COLUMNS, USER, VALUE, validate_columns
+from shelfwise.settings import cut_lineage
 
 Source = str | DataFrame
 
@@ -44,12 +46,61 @@ def read_triplets(spark: SparkSession, source: Source, sep: str = ";") -> DataFr
 
 
 def _by_header(header: list[str]):
-    from pyspark.sql import types as T
-
     kinds = {"data": T.DoubleType()}
     return T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in header])
 
 
+def scan_triplets(
+    spark: SparkSession, path: str, sep: str = ";", whole_numbers: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a file as triplets, and its bad ones as (file, line, reason).
+
+    Nothing ends the scan but a header without the three columns.  ``reason`` is
+    ``fields`` (more or fewer than in the header), ``value`` (``data`` is no number),
+    ``id`` (``row`` or ``col`` is empty) or ``number`` (a column of ``whole_numbers``
+    holds something else); the first that applies.  An empty or NaN ``data`` is a null
+    value, not an error.  The file is parsed once: both tables are read from what that
+    left in the shared folder, so they agree even if the file changes.
+    """
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    validate_columns(header, TRIPLET_COLUMNS, path)
+    names = {name.lower() for name in header}
+    corrupt = "bad_line"
+    while corrupt in names:
+        corrupt += "_"
+    schema = T.StructType([*_by_header(header).fields, T.StructField(corrupt, T.StringType())])
+    parsed = (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("sep", sep)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", corrupt)
+        .csv(path)
+    )
+    # All columns are written: a scan of some columns would not look at the others.
+    parsed = cut_lineage(parsed.select("*", F.col("_metadata.file_path").alias("file")))
+    bare = F.regexp_replace(F.col(corrupt), '"[^"]*"', "")
+    fields = F.size(F.split(bare, "\\Q" + sep + "\\E", -1))
+    missing = F.col("row").isNull() | F.col("col").isNull()
+    reason = (
+        F.when(F.col(corrupt).isNotNull() & (fields != len(header)), "fields")
+        .when(F.col(corrupt).isNotNull(), "value")
+        .when(missing, "id")
+    )
+    for name in whole_numbers:
+        reason = reason.when(F.col(name).isNotNull() & F.col(name).try_cast("bigint").isNull(), "number")
+    judged = parsed.withColumn("reason", reason)
+    line = F.coalesce(corrupt, F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in header)))
+    rejects = judged.where("reason is not null").select("file", line.alias("line"), "reason")
+    return read_triplets(spark, judged.where("reason is null").select(*TRIPLET_COLUMNS)), rejects
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(reason, n) of the rows that ``scan_triplets`` left out."""
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def read_interactions(spark: SparkSession, source: Source, sep: str = ";") -> DataFrame:
     """Interactions; rows without a user or item id are left out (see ``null_ids``)."""
     named = read_triplets(spark, source, sep).select(

@@ -84,3 +84,37 @@ def test_other_column_order_and_bad_numbers_fail(spark, tmp_path):
     bad.write_text("row;col;data\nu;i;abc\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         triplets.read_interactions(spark, str(bad)).collect()
+
+
+def test_bad_rows_are_put_aside_with_a_reason(spark, tmp_path):
+    lines = ["1;7;2.5", "2;8;many", "3;9", "4;9;1;1", ";9;1", "5;;1", "6;x9;1", "7;9;", "8;9;NaN", '"9;9";9;1', "", "10;9;1e3"]
+    path = write(tmp_path / "bad.csv", "\n".join(["row;col;data", *lines]) + "\n")
+    good, rejects = triplets.scan_triplets(spark, path, whole_numbers=("col",))
+    assert sorted(rows(good), key=str) == sorted(
+        [("1", "7", 2.5), ("7", "9", None), ("8", "9", None), ("9;9", "9", 1.0), ("10", "9", 1000.0)], key=str
+    )
+    found = {(r["line"], r["reason"]) for r in rejects.collect()}
+    assert found == {
+        ("2;8;many", "value"), ("3;9", "fields"), ("4;9;1;1", "fields"), (";9;1.0", "id"), ("5;;1.0", "id"), ("6;x9;1.0", "number"),
+    }
+    assert all(r["file"].endswith("bad.csv") for r in rejects.collect())
+    assert {r["reason"]: r["n"] for r in triplets.reject_counts(rejects).collect()} == {"value": 1, "fields": 2, "id": 2, "number": 1}
+    assert rows(triplets.read_interactions(spark, good))[0][0] in {"1", "7", "8", "9;9", "10"}
+    with pytest.raises(ValueError):
+        triplets.scan_triplets(spark, path, sep=",")
+
+
+def test_item_table_from_a_file_with_bad_rows(spark, tmp_path):
+    """What the scan keeps goes into the item table; the plain reader ends on the same file."""
+    path = write(tmp_path / "subclass.csv", "data;row;col\n1;a;5\nno;a;6\n1;b;c7\n1;c;8\n")
+    good, rejects = triplets.scan_triplets(spark, path, whole_numbers=("col",))
+    none = triplet_table(spark, [])
+    found = {r["contentId"]: r["category_no"] for r in triplets.item_info(spark, none, none, good).collect()}
+    assert found == {"a": 5, "c": 8} and rejects.count() == 2
+    with pytest.raises(Exception):
+        triplets.item_info(spark, none, none, path).collect()
+
+
+def test_a_file_with_a_header_alone(spark, tmp_path):
+    good, rejects = triplets.scan_triplets(spark, write(tmp_path / "none.csv", "row;col;data\n"))
+    assert good.count() == rejects.count() == 0
