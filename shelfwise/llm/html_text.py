@@ -2,14 +2,21 @@
 
 A page is read into leaf blocks: stretches of text between block-level tags, with
 the block-level elements they lie in.  Each block gets features of its ancestors'
-tags, of the words in their class, id and role, and of its text; the chain adds
+tags, of the words in their class, id and role, of its text, and of its place: a
+block's holder is the nearest element around it that holds other blocks too, and the
+holder with most text outside links is the page's main one; features say whether a
+block lies in it, under it, before or after it, whether a named element stands
+between, whether it lies outside the `article` or `main` of a page that has one, and
+how long and how linked the blocks of its holder are.  The chain adds
 weights for neighbouring labels.  The field is fitted by gradient ascent on
 labelled pages and decoded by Viterbi; the blocks labelled as content are joined.
 
 Labelled pages come from a bounded sample (``SAMPLE`` pages, by hash of the id):
 blocks in an `article` or `main` element, but not in one of `ASIDE`, are content.
 Their texts are also laid out anew in page forms where the labels are known by
-construction, so that the field learns the words that classes and ids use.
+construction.  In half of these, elements of both kinds draw their names from the same
+made-up words, so that place and shape must tell them apart; every plain tag stands
+on both sides.
 
 Defined results: a null or empty page, or one without content, has an empty text;
 nothing is cut; unclosed and stray tags are read as a browser would, roughly;
@@ -42,6 +49,8 @@ RAW = set("script style noscript template textarea title iframe svg select".spli
 TO_END = set("script style title textarea".split())
 # An opening tag of the second kind ends an open element of the first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# Elements that stand for a piece of text or a list of them, not for a part of the page.
+PIECES = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tr td th figure figcaption".split())
 ASIDE = set("nav header footer aside form menu button dialog head".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
@@ -59,9 +68,10 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; a path is ((tag, class words), ...) from the root."""
+    """Leaf blocks in page order; a path is ((tag, class words, number of the element), ...) from the root."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, tuple, int]] = []
+    opened = 0
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -127,7 +137,8 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name not in VOID and not m.group(3).rstrip().endswith("/"):
             words = tuple(PIECE.findall(" ".join("".join(g) for g in NAMED.findall(m.group(3))).lower()))
-            stack.append((name, words))
+            opened += 1
+            stack.append((name, words, opened))
     flush()
     return out
 
@@ -136,11 +147,64 @@ def _size(n: int) -> str:
     return "0" if n < 4 else "1" if n < 10 else "2" if n < 25 else "3" if n < 80 else "4"
 
 
+def _places(page_blocks: list[Block]) -> list[list[str]]:
+    """Features of where each block lies; the root of a page has number 0."""
+    held: dict[int, int] = {}
+    for b in page_blocks:
+        for _, _, number in b.path:
+            held[number] = held.get(number, 0) + 1
+    holders, names = [], []
+    for b in page_blocks:
+        holder, named = 0, False
+        for tag, words, number in reversed(b.path):
+            if tag not in PIECES and held[number] > 1:
+                holder = number
+                break
+            named = named or bool(words)
+        holders.append(holder)
+        names.append(named)
+    within = [any(tag in ("article", "main") for tag, _, _ in b.path) for b in page_blocks]
+    whole: dict[int, list[int]] = {}
+    for b, holder, inside in zip(page_blocks, holders, within, strict=True):
+        own = whole.setdefault(holder, [0, 0, 0, 0])
+        own[0] += 1
+        own[1] += b.text.count(" ") + 1
+        own[2] += b.links
+        own[3] += len(b.text)
+        if inside or not any(within):
+            aside = any(tag in ASIDE for tag, _, _ in b.path)
+            own.append(0 if aside else len(b.text) - b.links)
+    main = max(whole, key=lambda h: sum(whole[h][4:]), default=0)
+    own = [i for i, h in enumerate(holders) if h == main]
+    out = []
+    for i, (b, holder) in enumerate(zip(page_blocks, holders, strict=True)):
+        n, words, links, size = whole[holder][:4]
+        if holder == main:
+            at = "main"
+        elif any(number == main for _, _, number in b.path) or not main:
+            between = [w for _, w, number in b.path if number > main]
+            at = "under-named" if any(between) else "under"
+        else:
+            at = "out"
+        found = [
+            "at:" + at,
+            f"at:{at}:named:{names[i]}",
+            "holder-words:" + _size(words // n),
+            "holder-linked:" + str(min(3, 4 * links // max(size, 1))),
+        ]
+        if own and not own[0] <= i <= own[-1]:
+            found.append("before" if i < own[0] else "after")
+        if any(within) and not within[i]:
+            found.append("outside")
+        out.append(found)
+    return out
+
+
 def features(page_blocks: list[Block]) -> list[list[str]]:
     out = []
-    for i, b in enumerate(page_blocks):
+    for i, (b, place) in enumerate(zip(page_blocks, _places(page_blocks), strict=True)):
         own = ["bias"]
-        for tag, words in b.path:
+        for tag, words, _ in b.path:
             if tag not in ("html", "body", "div"):
                 own.append("in:" + tag)
             own += ["class:" + w for w in words]
@@ -153,6 +217,7 @@ def features(page_blocks: list[Block]) -> list[list[str]]:
             "linked:" + str(min(3, 4 * b.links // max(len(b.text), 1))),
             "stop:" + str(b.text[-1] in ".!?"),
         ]
+        own += place
         if "©" in b.text:
             own.append("copyright")
         if i == 0:
@@ -250,14 +315,16 @@ AWAY = (
     "footer header masthead topbar login search widget pagination tags copyright"
 ).split()
 HOME = "article content post entry story text body main page".split()
+# Names that say nothing: both kinds of elements get them.
+NEUTRAL = [a + b for a in ("ka", "lo", "mi", "ru", "te") for b in ("ben", "dor", "fis", "gul", "nat", "pok")]
 
 
 def _weak_labels(page: list[Block]) -> list[int]:
     """Content by a page's own sectioning elements."""
     out = []
     for b in page:
-        tags = [t for t, _ in b.path]
-        words = {w for _, ws in b.path for w in ws}
+        tags = [t for t, _, _ in b.path]
+        words = {w for _, ws, _ in b.path for w in ws}
         inside = any(t in ("article", "main") for t in tags)
         out.append(int(inside and not ASIDE & set(tags) and not words & set(AWAY)))
     return out
@@ -272,50 +339,55 @@ def _layouts(paragraphs: list[str], notes: list[str], rng: random.Random) -> tup
             page.append(f"<{tag}{attributes}>{html.escape(text)}</{tag}>")
             labels.append(label)
 
+    invented = rng.random() < 0.5
+    plain = ["p", "p", "p", "p", "div", "div", "blockquote", "h2", "h3", "li", "pre", "td"]
+
     def away(long: bool):
-        word = rng.choice(AWAY)
-        tag = rng.choice(["div", "section", "div", "ul", "aside", "form"])
+        word = rng.choice(NEUTRAL if invented else AWAY)
+        tag = rng.choice(["div", "section", "div", "div", "ul", "table", "aside", "form"])
         attribute = rng.choice(["class", "id"])
         name = word if rng.random() < 0.6 else f"{rng.choice(['site', 'page', 'box', 'main', 'top'])}-{word}"
         page.append(f'<{tag} {attribute}="{name}">')
+        linked = rng.choice([0.0, 0.5, 0.9])
         for _ in range(rng.randrange(1, 4)):
             text = rng.choice(paragraphs if long else notes)
-            if tag == "ul":
-                page.append("<li>" + (f'<a href="/x">{html.escape(text)}</a>' if rng.random() < 0.7 else html.escape(text)) + "</li>")
+            inner = {"ul": "li", "table": "td"}.get(tag) or rng.choice(plain)
+            if rng.random() < linked:
+                page.append(f'<{inner}><a href="/x">{html.escape(text)}</a></{inner}>')
                 if text.strip():
                     labels.append(0)
             else:
-                leaf(rng.choice(["p", "div", "p"]), text, 0)
+                leaf(inner, text, 0)
         page.append(f"</{tag}>")
 
     def bar(tag: str):
         page.append(f"<{tag}>")
         for _ in range(rng.randrange(1, 5)):
-            leaf(rng.choice(["p", "li", "div"]), rng.choice(notes + paragraphs), 0)
+            leaf(rng.choice(plain), rng.choice(notes + paragraphs), 0)
         page.append(f"</{tag}>")
 
     for tag in ("header", "nav"):
-        if rng.random() < 0.6:
+        if rng.random() < 0.4:
             bar(tag)
-    if rng.random() < 0.6:
-        away(rng.random() < 0.5)
+    for _ in range(rng.randrange(3)):
+        away(rng.random() < 0.4)
     tag = rng.choice(["article", "main", "div", "section", "div"])
-    home = rng.choice(HOME)
-    named = f' class="{home}"' if tag in ("div", "section") or rng.random() < 0.5 else ""
+    home = rng.choice(NEUTRAL if invented else HOME)
+    named = f' class="{home}"' if (tag in ("div", "section") and not invented) or rng.random() < 0.5 else ""
     page.append(f"<{tag}{named}>")
     if rng.random() < 0.7:
         leaf("h1", rng.choice(notes), 1)
     for text in paragraphs:
-        leaf(rng.choice(["p", "p", "p", "div", "div", "blockquote", "h2", "li", "pre", "td"]), text, 1)
+        leaf(rng.choice(plain), text, 1)
         if rng.random() < 0.12:
-            away(rng.random() < 0.5)
+            away(rng.random() < 0.4)
         if rng.random() < 0.08:
             bar(rng.choice(["aside", "form", "footer", "header"]))
     page.append(f"</{tag}>")
-    for _ in range(rng.randrange(3)):
-        away(rng.random() < 0.5)
+    for _ in range(rng.randrange(4)):
+        away(rng.random() < 0.4)
     for tag in ("aside", "footer", "form"):
-        if rng.random() < 0.5:
+        if rng.random() < 0.4:
             bar(tag)
     return "<html><body>" + "".join(page) + "</body></html>", labels
 
@@ -332,7 +404,7 @@ def train(pages: list[str], seed: int = 17) -> Field:
             examples.append((features(read), labels))
         long = [b.text for b, y in zip(read, labels, strict=True) if y][:12] or rng.sample(filler, 3)
         short = [b.text for b, y in zip(read, labels, strict=True) if not y][:12] or filler[:3]
-        for _ in range(2):
+        for _ in range(4):
             made, known = _layouts(long, short, rng)
             again = blocks(made)
             if len(again) == len(known):

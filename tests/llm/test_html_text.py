@@ -53,6 +53,35 @@ def test_other_page_forms(field, page):
     assert html_text.main_text("<html><body>" + page.format(*BODY) + "</body></html>", field) == " ".join(BODY)
 
 
+LONG = [*BODY, "The third goes on for a while, as a paragraph of an article does, and then it ends.", "A fourth one closes it."]
+
+
+@pytest.mark.parametrize("body", [LONG, LONG * 5])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='wrap7'>{}</div>", "<div>{}</div>", "<main>{}</main>"])
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<div class='recommendations'><p>Ten more things to read.</p><p><a href=/x>Another text of ours</a></p></div>",
+        "<div class='toolbar'><span>Print</span> <span>Save</span></div>",
+        "<div class='gdpr'><p>We value what you keep to yourself.</p><p>Agree</p></div>",
+        "<section id='disqus'><div>I do not think so at all.</div><div>Nor do I, but who asks.</div></section>",
+        "<div class='responses'><p>What a good text this was, I liked to read it.</p><p>So did I.</p></div>",
+        "<table class='tabs'><tr><td><a href=/a>Home</a></td><td><a href=/b>News</a></td><td><a href=/c>Sport</a></td></tr></table>",
+    ],
+)
+def test_names_not_met_in_training(field, extra, around, body):
+    """Parts whose class says nothing to the field are told by their place, before and after the article."""
+    text = around.format("".join(f"<p>{p}</p>" for p in body))
+    for page in (extra + text, text + extra):
+        assert html_text.main_text(f"<html><body>{page}</body></html>", field) == " ".join(body)
+
+
+def test_tags_of_both_sides_stay_in_the_article(field):
+    inner = f"<h2>On a thing</h2><p>{LONG[0]}</p><blockquote>{LONG[1]}</blockquote><ul><li>{LONG[2]}</li></ul><pre>{LONG[3]}</pre>"
+    got = html_text.main_text(f"<html><body><nav><p>Home</p></nav><article>{inner}</article></body></html>", field)
+    assert got == " ".join(["On a thing", *LONG])
+
+
 def test_blocks_of_broken_pages():
     read = lambda page: [b.text for b in html_text.blocks(page)]
     assert read("<p>a <b>b</b>&amp;\n c<br>d<p>e</div>f") == ["a b& c d", "e", "f"]
