@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept.  Stages hand over the columns of `documents`; the last returns the shards.
 Between stages the rows are written to the shared folder and read back, so a lost
 executor costs no earlier stage.
+
+Defined results: null, blank and empty texts have fingerprint zero, so one of them
+stays, and without words the mix takes none of it; rows with a null id are judged
+like others, and of near copies the one with the smallest id stays; repeated rows
+count as copies; long texts are read whole.  Without labels of both kinds nothing is
+rejected, without a benchmark nothing leaks, and without documents there are no rows.
+Other columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
