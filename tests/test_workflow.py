@@ -70,7 +70,7 @@ def test_entry_points(spark):
     names = set(spark_entry.queries())
     assert names >= set(spark_entry.oracle_sql())
     without_sql = {n for n in names - set(spark_entry.oracle_sql()) if n in QUERIES}
-    learned = {"content_topk", "fm_topk", "svd_factors", "svd_topk", "hit_rate_learned", "five_model_comparison"}
+    learned = {"content_topk", "content_class_topk", "fm_topk", "svd_factors", "svd_topk", "hit_rate_learned", "five_model_comparison"}
     assert without_sql == learned
     assert spark_entry.entry(spark).count() == 1040
 
