@@ -78,6 +78,31 @@ def test_block_solver_on_a_sparse_matrix_needs_many_passes(ratings):
     assert np.allclose(model.singular_values, np.linalg.svd(matrix)[1][:10], atol=1e-5)
 
 
+def test_svd_works_on_the_side_with_fewer_ids(ratings, monkeypatch):
+    data = random_ratings(10, 70, 400, 0.1)
+    users, items, matrix = dense(data)
+    # Room for the two matrices over the users, not for those over the items.
+    monkeypatch.setattr(settings, "GRAM_ITEMS", 10)
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", 8 * len(users) * 84)
+    train = ratings(data)
+    model = svd.fit_svd(train, 10)
+    assert model.method == "block" and model.converged
+    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(model.singular_values, s[:10], atol=1e-6)
+    assert np.allclose(matrix @ rebuild(model, train, items), (u[:, :10] * s[:10]) @ vt[:10], atol=1e-2)
+
+
+def test_svd_of_a_low_rank_has_all_its_vectors(ratings):
+    data = low_rank(20, 40, 3, 2)
+    _, items, matrix = dense(data)
+    train = ratings(data)
+    model = svd.fit_svd(train, 6, method="block")
+    found = {r["contentId"]: r["factors"] for r in model.factors.collect()}
+    factors = np.array([found[i] for i in items])
+    assert np.allclose(factors.T @ factors, np.eye(6), atol=1e-8)
+    assert np.allclose(matrix @ factors @ factors.T, matrix, atol=1e-6)
+
+
 def test_unconverged_svd_raises(ratings):
     with pytest.raises(RuntimeError):
         svd.fit_svd(ratings(random_ratings(9, 60, 50, 0.2)), 4, method="table", tol=1e-12, max_passes=2)
