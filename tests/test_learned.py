@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import settings
 from shelfwise.models import content, fm, fm_blocks, svd
+from shelfwise.operators import sampling
 from shelfwise.operators import vectors
 from shelfwise.operators.sampling import negative_pairs
 
@@ -124,6 +125,23 @@ def test_negative_pairs_are_distinct_and_repeatable(spark, ratings, n, exclude):
         assert found != rows(negative_pairs(users, items, n, 2))
 
 
+def test_pairs_meet_their_users_where_they_are_made_distinct(spark, monkeypatch):
+    written = []
+    keep = sampling.cut_lineage
+    monkeypatch.setattr(sampling, "cut_lineage", lambda df: written.append(df) or keep(df))
+    users = spark.range(30).selectExpr("concat('u', id) as personId")
+    items = spark.range(20).selectExpr("concat('i', id) as contentId")
+    found = sampling.negative_pairs(users, items, 100).collect()
+    assert len({tuple(r) for r in found}) == len(found) == 100
+    assert written[-1].columns == ["personId", "item_no", "id"]
+
+
+def test_fm_leaves_the_driver_well_below_the_broadcast_limit(ratings, monkeypatch):
+    train = ratings(random_ratings(31, 8, 6, 0.6))
+    monkeypatch.setattr(settings, "FM_DRIVER_BYTES", 8 * 14)
+    assert fm.fit_fm(fm.fm_train(train, 5), 2, 2).solver == "blocks"
+
+
 def test_no_negative_pairs_left(ratings):
     train = ratings([("u", "a", 1.0)])
     users, items = train.select("personId"), train.select("contentId")
