@@ -180,6 +180,31 @@ def test_content_examples_count_equal_rows(spark, ratings):
     assert counted == {("a", 3): 0, ("a", 9): 0}
 
 
+def test_content_learns_from_one_row_for_equal_features(spark, ratings):
+    prices = {f"i{n:02d}": float(n % 4) for n in range(40)}
+    items = item_table(spark, prices)
+    train = ratings([(f"u{u}", i, 1.0 + p) for u in range(3) for i, p in prices.items()])
+    negatives = negative_pairs(train.select("personId").distinct(), items.select("contentId"), 60, 3)
+    for target, labels in (("seen", 2), ("value", 5)):
+        full = content.weighted_examples(train, negatives, items, target)
+        merged = content.distinct_examples(train, negatives, items, target)
+        assert full.count() > merged.count() == len({(r["price"], r["label"]) for r in full.collect()}) <= 4 * labels
+        assert rows(full.groupBy("price", "label").agg(F.sum("weight"))) == rows(merged, "price", "label", "weight")
+
+
+@pytest.mark.parametrize("n, exclude", [(7, False), (150, True), (300, False), (500, True)])
+def test_negative_counts_are_those_of_the_pairs(spark, ratings, n, exclude):
+    train = ratings(random_ratings(2, 20, 15, 0.3))
+    users, items = train.select("personId").distinct(), train.select("contentId").distinct()
+    taken = train if exclude else None
+    pairs = negative_pairs(users, items, n, 1, taken)
+    counts = sampling.negative_counts(users, items, n, 1, taken)
+    assert rows(counts) == rows(pairs.groupBy("contentId").count())
+    info = item_table(spark, {f"i{k:03d}": k / 15 for k in range(15)})
+    by_pairs, by_counts = (content.weighted_examples(train, x, info, "value") for x in (pairs, counts))
+    assert rows(by_pairs, "contentId", "label", "weight") == rows(by_counts, "contentId", "label", "weight")
+
+
 def test_fm_closed_form(ratings):
     data = random_ratings(4, 12, 9, 0.5)
     rows_ = fm.labelled_pairs(ratings(data), ratings([("u000", "i000", 0.0)]).drop("result"))
