@@ -118,13 +118,8 @@ def collapsed_interactions(spark, folder):
 
 
 def collapsed_with_fanout(spark, folder):
-    joined = triplets.interactions_users(
-        spark,
-        views.interactions(spark, folder),
-        views.user_age(spark, folder),
-        views.user_region_multi(spark, folder),
-    )
-    return interactions.collapse_joined(joined, MIN_ITEMS)
+    users = triplets.user_info(spark, views.user_age(spark, folder), views.user_region_multi(spark, folder))
+    return interactions.collapse_repeated(_read(spark, folder), users, MIN_ITEMS)
 
 
 def split_assignment(spark, folder):

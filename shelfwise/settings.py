@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one key (a user, an item) that a single task may sort or hold.
 HOT_KEY_ROWS = 1_000_000
+# Rows of a large table that one task should join or sort.
+TASK_ROWS = 500_000
 # Rows that one unpartitioned window may number.
 RANK_BUCKET_ROWS = 1_000_000
 # Bytes of a numeric block that is sent to every executor.
@@ -62,6 +64,15 @@ def wide(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks of at most about ``TASK_ROWS`` of ``rows`` each, and no fewer than cores.
+
+    What a task holds then stays the same however large the table and whatever the
+    number of shuffle partitions.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise import settings
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -21,7 +23,12 @@ def _triplet(df: DataFrame, row, col, data) -> DataFrame:
 
 
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
-    orders, lines = _table(spark, folder, "orders"), _table(spark, folder, "lineitem")
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    # The numbers of rows are in the files' footers.
+    tasks = settings.tasks_for(spark, max(orders.count(), lines.count()))
+    if tasks > spark.sparkContext.defaultParallelism:
+        orders, lines = orders.repartition(tasks, "o_orderkey"), lines.repartition(tasks, "l_orderkey")
     bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return _triplet(bought, F.col("o_custkey"), F.col("l_partkey"), F.col("l_quantity"))
 

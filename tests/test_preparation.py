@@ -8,11 +8,13 @@ import pytest
 from helpers import random_ratings, rows
 from pyspark.sql import functions as F
 
+from shelfwise import settings
 from shelfwise.operators import interactions as ops
 from shelfwise.operators.evaluation import recs_by_model, truth, truth_counts, truth_lists
 from shelfwise.operators.indexing import cutoff, global_rank, hash_index
 from shelfwise.operators.split import exact_split, part, stratified_split
-from shelfwise.sources import triplets
+from shelfwise.plans import workflow
+from shelfwise.sources import triplets, views
 
 
 def test_collapse_sums_and_reads_null_as_nothing(ratings):
@@ -56,6 +58,63 @@ def test_split_by_definition_also_for_hot_users(ratings, hot_rows, size):
     assert test == expected_test_rows(data, size, 42)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preparation_deals_rows_to_as_many_tasks_as_they_need(ratings, monkeypatch):
+    data = random_ratings(8, 30, 20, 0.5)
+    monkeypatch.setattr(settings, "TASK_ROWS", 20)
+    assigned = workflow.assign(ratings([*data, ("few", "i000", 1.0)]), 2, 0.2, 42)
+    assert assigned.rdd.getNumPartitions() == -(-len(data) // 20) > 4
+    assert rows(assigned.drop("split")) == sorted(data)
+    test = {(u, i) for u, i, _ in rows(part(assigned, "test"))}
+    assert test == expected_test_rows(data, 0.2, 42)
+
+
+def test_assign_counts_users_once(ratings, monkeypatch):
+    data = random_ratings(8, 9, 40, 0.3, hot_user=4)
+    written = []
+    keep = workflow.cut_lineage
+    monkeypatch.setattr(workflow, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    for hot_rows in (None, 7):
+        monkeypatch.setattr(settings, "HOT_KEY_ROWS", hot_rows or 1_000_000)
+        assigned = workflow.assign(ratings([*data, ("few", "i000", 1.0)]), 2, 0.2, 42)
+        assert rows(assigned.drop("split")) == sorted(data)
+        assert {(u, i) for u, i, _ in rows(part(assigned, "test"))} == expected_test_rows(data, 0.2, 42)
+    assert written == [["personId", "contentId", "result"], ["personId", "n"]] * 2
+
+
+def test_active_pairs_are_passed_unsorted(ratings):
+    pairs = ratings([("u1", "i1", 1.0), ("u1", "i2", 1.0), ("u2", "i1", 1.0)])
+    kept = ops.keep_active(pairs, 2)
+    assert rows(kept) == [("u1", "i1", 1.0), ("u1", "i2", 1.0)]
+    assert "SortMergeJoin" not in plan_of(kept) and "Sort " not in plan_of(kept)
+
+
+def test_repeated_rows_are_counted_instead_of_joined(spark, ratings):
+    table = ratings(
+        [("u1", "i1", 1.5), ("u1", "i1", 2.0), ("u1", "i2", None), ("u2", "i1", 4.0), ("u2", "i3", 1.0), ("u3", "i1", 1.0)]
+    )
+    users = spark.createDataFrame([("u1", 1), ("u1", 2), ("u1", 3), ("u9", 1), (None, 1)], "personId string, region_no bigint")
+    found = ops.collapse_repeated(table, users, 2)
+    assert rows(found) == rows(ops.collapse_joined(table.join(users, "personId", "left"), 2))
+    assert rows(found) == [("u1", "i1", 10.5), ("u1", "i2", 0.0), ("u2", "i1", 4.0), ("u2", "i3", 1.0)]
+    # The pair sums are in a table: no task adds up pairs beside joining them.
+    assert "contentId" not in "".join(x for x in plan_of(found).splitlines() if "HashAggregate" in x)
+
+
+def test_orders_meet_lines_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("id % 50 as l_orderkey", "id as l_partkey", "1.0D as l_quantity").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    plain = rows(views.interactions(spark, str(tmp_path)))
+    monkeypatch.setattr(settings, "TASK_ROWS", 10)
+    dealt = views.interactions(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 20 and rows(dealt) == plain and len(plain) == 160
+
+
 @pytest.mark.parametrize("size", [0.2, 0.37])
 @pytest.mark.parametrize("hot_rows", [None, 7])
 def test_exact_split_shares_the_total_by_largest_remainder(ratings, size, hot_rows):
