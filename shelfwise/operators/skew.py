@@ -14,9 +14,14 @@ def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     ``parts`` is the number of pieces that brings each below the limit.  The table
     is written, so the planner knows its size and broadcasts it only while small.
     """
+    return hot_counts(df.groupBy(key).agg(F.count("*").alias("n")), limit)
+
+
+def hot_counts(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """`hot_keys` of a table whose rows are already counted as (key, n)."""
     limit = limit or settings.HOT_KEY_ROWS
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return settings.cut_lineage(counts.withColumn("parts", F.ceil(F.col("n") / limit).cast("int")))
+    hot = counts.where(F.col("n") > limit)
+    return settings.cut_lineage(hot.withColumn("parts", F.ceil(F.col("n") / limit).cast("int")))
 
 
 def with_parts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -8,23 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise import settings
 from shelfwise.functions.columns import HASH_RANGE, digest, digest_number
 from shelfwise.operators.indexing import cutoff
-from shelfwise.operators.skew import hot_keys, with_parts
+from shelfwise.operators.skew import hot_counts, with_parts
 from shelfwise.schemas import ITEM, USER
 from shelfwise.settings import cut_lineage
 
 
 def stratified_split(
-    pairs: DataFrame, test_size: float = 0.2, seed: int = 42, hot_rows: int | None = None
+    pairs: DataFrame,
+    test_size: float = 0.2,
+    seed: int = 42,
+    hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: per user, the ``round(n * test_size)`` lowest digests are test.
 
     A user's rows are ranked by md5(user|item|seed).  The rows of a user beyond
     ``hot_rows`` are cut into digest ranges that separate tasks rank; the sizes of
     the lower ranges, at most rows / hot_rows numbers per user, give the offset.
+    ``counts``, if written before, holds the rows (personId, n) of the users to keep.
     """
-    ranked = _ranked(pairs, seed, hot_rows)
+    ranked = _ranked(pairs, seed, hot_rows, counts)
     return _assigned(ranked, pairs.columns, F.floor(F.col("_size") * F.lit(test_size) + F.lit(0.5)))
 
 
@@ -71,14 +77,31 @@ def sizes_of_test(pairs: DataFrame, test_size: float = 0.2, seed: int = 42) -> D
     return shares.select(USER, (F.col("whole") + more.cast("bigint")).alias("n_test"))
 
 
-def _ranked(pairs: DataFrame, seed: int, hot_rows: int | None) -> DataFrame:
-    """``pairs`` with each row's ``_rank`` among its user's, and their number ``_size``."""
-    hashed = pairs.withColumn("_digest", digest(USER, ITEM, F.lit(str(seed))))
-    hot = hot_keys(pairs, USER, hot_rows)
-    if hot.isEmpty():
-        group = W.partitionBy(USER)
-        ranked = hashed.withColumn("_rank", F.row_number().over(group.orderBy("_digest", ITEM)))
-        return ranked.withColumn("_size", F.count("*").over(group))
+def _ranked(pairs: DataFrame, seed: int, hot_rows: int | None, counts: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with each row's ``_rank`` among its user's, and their number ``_size``.
+
+    Users are dealt to as many tasks as their rows need; only hot ones are cut.
+    """
+    own = counts is None
+    if own:
+        counts = cut_lineage(pairs.groupBy(USER).agg(F.count("*").alias("n")))
+    none = F.lit(0).cast("bigint")
+    rows, most = counts.agg(F.coalesce(F.sum("n"), none), F.coalesce(F.max("n"), none)).first()
+    spread = digest(USER, ITEM, F.lit(str(seed)))
+    if most <= (hot_rows or settings.HOT_KEY_ROWS):
+        tasks = settings.tasks_for(pairs.sparkSession, rows)
+        dealt, group = pairs.repartition(tasks, USER), W.partitionBy(USER)
+        if not own:
+            sizes = counts.select(USER, F.col("n").alias("_size")).repartition(tasks, USER)
+            dealt = dealt.join(sizes.hint("shuffle_hash"), USER)
+        ranked = dealt.withColumn("_digest", spread).withColumn(
+            "_rank", F.row_number().over(group.orderBy("_digest", ITEM))
+        )
+        return ranked.withColumn("_size", F.count("*").over(group)) if own else ranked
+    hot = hot_counts(counts, hot_rows)
+    if not own:
+        pairs = pairs.join(counts.select(USER).hint("shuffle_hash"), USER, "left_semi")
+    hashed = pairs.withColumn("_digest", spread)
     position = digest_number(F.col("_digest")) / F.lit(float(HASH_RANGE))
     ranged = with_parts(hashed, USER, hot).withColumn(
         "_range", F.least(F.floor(position * F.col("parts")), F.col("parts") - 1).cast("int")

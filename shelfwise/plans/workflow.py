@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.models import content, fm, neighbours, popularity, svd
 from shelfwise.operators.evaluation import compare, hit_rate_at_k
-from shelfwise.operators.interactions import keep_active, pair_sums
+from shelfwise.operators.interactions import active_counts, pair_sums
 from shelfwise.operators.split import part, stratified_split
 from shelfwise.schemas import check_k
 from shelfwise.settings import cut_lineage
@@ -61,10 +61,12 @@ def assign(interactions: DataFrame, min_items: int, test_size: float, seed: int)
     """Collapsed rows of active users with their ``split``.
 
     The pair sums are written first, since counting and filtering users reads them
-    again and the raw rows should be shuffled once.
+    again and the raw rows should be shuffled once.  So are the counts of the active
+    users, which keep their rows, size the tasks and find hot users.
     """
     pairs = cut_lineage(pair_sums(interactions))
-    return stratified_split(keep_active(pairs, min_items), test_size, seed)
+    counts = cut_lineage(active_counts(pairs, min_items))
+    return stratified_split(pairs, test_size, seed, counts=counts)
 
 
 def prepare(interactions: DataFrame, min_items: int, test_size: float, seed: int) -> tuple[DataFrame, DataFrame]:
