@@ -102,6 +102,19 @@ def test_map_at_k(spark, ratings):
     assert rows(evaluation.map_at_k(recs, train, test, 3))[0][1] == pytest.approx((1 + 2 / 3) / 2 / 2)
 
 
+def test_metrics_count_the_train_users_once(spark, ratings, monkeypatch):
+    train = ratings([("a", "t", 1.0), ("a", "s", 1.0), ("b", "t", 1.0), (None, "t", 1.0)])
+    recs = spark.createDataFrame([("m", "a", 1, "x", 1.0), ("m", "c", 1, "x", 1.0)], RECS)
+    test = ratings([("a", "x", 1.0), ("c", "x", 1.0)])
+    written = []
+    keep = evaluation.cut_lineage
+    monkeypatch.setattr(evaluation, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    # Lists of users without train rows do not count, nor does a null user.
+    assert rows(evaluation.hit_rate_at_k(recs, train, test)) == [("m", pytest.approx(1 / 1.001 / 2))]
+    assert rows(evaluation.map_at_k(recs, train, test)) == [("m", pytest.approx(1 / 2))]
+    assert written == [["personId", "n_train", "n_test"]] * 2
+
+
 def test_wide_lists(spark):
     recs = spark.createDataFrame([("m", "u", 2, "b", 0.1), ("m", "u", 1, "z", 0.2)], RECS)
     assert evaluation.recs_wide(recs).first()["items"] == ["z", "b"]
