@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from helpers import brute_topk, dense, lists, random_ratings, rows
@@ -322,6 +324,26 @@ def test_fm_blocks_reach_the_loss_of_the_library(ratings, monkeypatch):
     assert loss(blocks) == pytest.approx(loss(library), rel=0.05)
 
 
+def test_fm_blocks_leave_no_table_per_iteration(spark, ratings):
+    rows_ = fm.fm_train(ratings(random_ratings(8, 12, 9, 0.5)), 20)
+    folder = Path(settings.shared_folder(spark).removeprefix("file:"))
+
+    def tables(iterations):
+        before = set(folder.iterdir())
+        fm.fit_fm(rows_, 2, iterations, solver="blocks")
+        return len(set(folder.iterdir()) - before)
+
+    assert tables(6) == tables(2)
+
+
+def test_fm_tiles_are_few_however_many_ids(spark):
+    """Each tile moves the gradients of its two blocks, so their number follows the rows."""
+    rows_ = spark.range(3000).selectExpr("id user_no", "id * 7 % 3000 item_no", "1D label")
+    sizes = fm_blocks._block_sizes(3000, 3000, 3000, 4, fm_blocks.BLOCK, 1000)
+    laid = fm_blocks.tiles(rows_, sizes[fm_blocks.USERS], sizes[fm_blocks.ITEMS], 1000)
+    assert laid.count() == 4 and laid.select(F.sum(F.size("labels"))).first()[0] == 3000
+
+
 def test_fm_blocks_of_nothing(spark):
     rows_ = spark.createDataFrame([], "user_no long, item_no long, label double")
     none = [spark.range(0).toDF(c) for c in ("user_no", "item_no")]

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import brute_topk, lists, random_ratings, rows
 
+from shelfwise.functions import kernels
 from shelfwise.models.popularity import fit_popularity, recommend_popular
 from shelfwise.operators import evaluation, ranking
 from shelfwise.operators.vectors import weighted_sums
@@ -61,6 +63,40 @@ def test_factor_topk_by_definition(spark, block_bytes):
         assert found[f"u{n}"] == [i for i, _ in brute_topk(scores, 5)]
 
 
+def test_a_group_of_items_gives_what_a_user_needs_of_it(spark, monkeypatch):
+    """k items and as many as the user has seen of the group, not of all groups."""
+    rng = np.random.default_rng(1)
+    users = spark.createDataFrame([(f"u{n}", v.tolist()) for n, v in enumerate(rng.random((4, 2)))], "personId string, factors array<double>")
+    items = spark.createDataFrame([(f"i{n}", v.tolist()) for n, v in enumerate(rng.random((60, 2)))], "contentId string, factors array<double>")
+    seen = spark.createDataFrame([("u0", f"i{n}") for n in range(50)], "personId string, contentId string")
+    scored = []
+    keep = ranking.exclude_seen
+    monkeypatch.setattr(ranking, "exclude_seen", lambda rows_, pairs: scored.append(rows_) or keep(rows_, pairs))
+    found = lists(ranking.factor_topk(users, items, 3, seen, 64 * 12))
+    assert all(len(picked) == 3 for picked in found.values())
+    # Five groups of items.
+    assert scored[0].where("personId = 'u0'").count() <= 5 * 3 + 50
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e16])
+def test_best_items_over_many_blocks_with_ties(monkeypatch, scale):
+    monkeypatch.setattr(kernels, "SCORE_USERS", 4)
+    monkeypatch.setattr(kernels, "SCORE_ITEMS", 8)
+    rng = np.random.default_rng(2)
+    users, items = np.round(rng.standard_normal((11, 3)), 1) * scale, np.round(rng.standard_normal((90, 3)), 1)
+    items[40:80] = items[:40]
+    n_seen = rng.integers(0, 30, 11)
+    names, ids = [f"u{n}" for n in range(11)], np.array([f"i{n:02d}" for n in range(90)], dtype=object)
+    table = pa.table({"personId": names, "factors": kernels.list_column(users), "n_seen": n_seen})
+    found = {}
+    for batch in kernels.score_block(table, (ids, items), 2):
+        for user, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found.setdefault(user, []).append(item)
+    for n, user in enumerate(names):
+        scores = dict(zip(ids, np.einsum("ij,j->i", items, users[n])))
+        assert found[user] == [i for i, _ in brute_topk(scores, n_seen[n] + 2)]
+
+
 def test_factor_topk_without_items(spark):
     users = spark.createDataFrame([("u", [1.0])], "personId string, factors array<double>")
     items = spark.createDataFrame([], "contentId string, factors array<double>")
