@@ -95,6 +95,18 @@ def test_svd_works_on_the_side_with_fewer_ids(ratings, monkeypatch):
     assert np.allclose(matrix @ rebuild(model, train, items), (u[:, :10] * s[:10]) @ vt[:10], atol=1e-2)
 
 
+@pytest.mark.parametrize("limit", [None, "no room"])
+def test_block_solver_takes_few_steps_where_values_lie_close(ratings, monkeypatch, limit):
+    """Values from the edge of a random spectrum; a matrix that may be sent needs less than half the steps, 18 before."""
+    data = random_ratings(12, 500, 400, 0.03)
+    _, _, matrix = dense(data)
+    # Room for the vectors, not for the matrix.
+    monkeypatch.setattr(svd, "_CELL_BYTES", 24 if limit is None else 1 << 40)
+    model = svd.fit_svd(ratings(data), 10, method="block")
+    assert np.allclose(model.singular_values, np.linalg.svd(matrix)[1][:10], atol=1e-6)
+    assert model.passes <= 9 if limit is None else model.passes > 9
+
+
 def test_svd_of_a_low_rank_has_all_its_vectors(ratings):
     data = low_rank(20, 40, 3, 2)
     _, items, matrix = dense(data)

@@ -78,12 +78,13 @@ def test_a_group_of_items_gives_what_a_user_needs_of_it(spark, monkeypatch):
     assert scored[0].where("personId = 'u0'").count() <= 5 * 3 + 50
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e16])
+@pytest.mark.parametrize("scale", [1.0, 2.0**54])
 def test_best_items_over_many_blocks_with_ties(monkeypatch, scale):
     monkeypatch.setattr(kernels, "SCORE_USERS", 4)
     monkeypatch.setattr(kernels, "SCORE_ITEMS", 8)
     rng = np.random.default_rng(2)
-    users, items = np.round(rng.standard_normal((11, 3)), 1) * scale, np.round(rng.standard_normal((90, 3)), 1)
+    # Whole numbers, so that products are exact.
+    users, items = rng.integers(-4, 5, (11, 3)) * scale, rng.integers(-4, 5, (90, 3)).astype(float)
     items[40:80] = items[:40]
     n_seen = rng.integers(0, 30, 11)
     names, ids = [f"u{n}" for n in range(11)], np.array([f"i{n:02d}" for n in range(90)], dtype=object)
@@ -97,6 +98,20 @@ def test_best_items_over_many_blocks_with_ties(monkeypatch, scale):
         assert found[user] == [i for i, _ in brute_topk(scores, n_seen[n] + 2)]
 
 
+def test_ids_that_score_alike_are_not_all_ranked(monkeypatch):
+    """Items whose scores differ by less than single precision tells come first by id, the best ones last."""
+    rng = np.random.default_rng(4)
+    items = np.r_[rng.standard_normal((40_000, 4)) * 1e-9, rng.random((2_000, 4))]
+    users = rng.random((8, 4))
+    ranked = []
+    keep = kernels._best_rows
+    monkeypatch.setattr(kernels, "_best_rows", lambda row, *rest: ranked.append(len(row)) or keep(row, *rest))
+    row, col, score = kernels._best_items(users, items, items.astype(np.float32), np.full(8, 5))
+    for n in range(8):
+        assert col[row == n].tolist() == [i for i, _ in brute_topk(dict(enumerate(items @ users[n])), 5)]
+    assert sum(ranked) < 8 * 1_000
+
+
 def test_factor_topk_without_items(spark):
     users = spark.createDataFrame([("u", [1.0])], "personId string, factors array<double>")
     items = spark.createDataFrame([], "contentId string, factors array<double>")
